@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.cleaning import WHITE_SPACE, folded, seconds
-from rillstone.operators import late, rolling
+from rillstone.cleaning import WHITE_SPACE, folded, folded_symbol, seconds
+from rillstone.operators import late, rolling, spikes
 from rillstone.operators.sessions import sessions
 from rillstone.store import table
 
@@ -149,6 +149,16 @@ FROM steps JOIN lost USING (key, window_start)
 WINDOW w AS (PARTITION BY key, window_start ORDER BY seq NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 )
 
+def p6_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "price_events")
+    found = spikes.flagged(e, F.col("event_id"), folded_symbol(F.col("symbol")), folded(F.col("exchange")), F.col("timestamp"), F.col("price"))
+    return found.withColumnsRenamed({"record_id": "event_id", "series": "symbol", "source": "exchange"})
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_faults(spark, sf_dir).select("event_id")
+
+
 QUERIES = {
     "p1_rolling_totals": p1_rolling_totals,
     "p1_found": p1_found,
@@ -157,6 +167,8 @@ QUERIES = {
     "p5_windows": p5_windows,
     "p5_emissions": p5_emissions,
     "p5_found": p5_found,
+    "p6_faults": p6_faults,
+    "p6_found": p6_found,
 }
 SQL = {
     "p1_rolling_totals": P1_ROLLING_SQL,
