@@ -1,10 +1,11 @@
-"""Queries p8 (token ids) and p9 (packing)."""
+"""Queries p8 (token ids), p9 (packing) and p10 (abusive content)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.llm import abuse
 from rillstone.llm.bpe import encoded
 from rillstone.llm.packing import packed
 from rillstone.store import table, written
@@ -36,5 +37,26 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_packing": p9_packing, "p9_containers": p9_containers}
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    model = abuse.fitted(d, F.col("doc_id"), F.col("text"), table(spark, sf_dir, "doc_ratings"))
+    return abuse.scored(d, F.col("doc_id"), F.col("text"), F.col("source"), model)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).where("abusive").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(p10_scores(spark, sf_dir))
+
+
+QUERIES = {
+    "p8_ids": p8_ids,
+    "p9_packing": p9_packing,
+    "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
+}
 SQL: dict[str, str] = {}
