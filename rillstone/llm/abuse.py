@@ -152,6 +152,8 @@ def logits(net: Network, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def reliable(votes: np.ndarray, cast: np.ndarray) -> np.ndarray:
     """The chance of each document being abusive, given votes of raters who err (by expectation maximisation)."""
+    if not len(votes):
+        return np.zeros(0)
     rate, hit, slip = 0.15, 0.9, 0.07
     p = np.full(len(votes), rate)
     for _ in range(30):
@@ -248,7 +250,8 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7)
         score[w] = logits(net, net.projected(net.vectors(whole)), ids[w])
     high = np.full(n, -30.0)
     np.maximum.at(high, of, score)
-    return Model(net, _threshold(high[held], p[held]) if held.any() else 0.5)
+    clear = held & ((p > SURE) | (p < 1 - SURE))
+    return Model(net, _threshold(high[clear], p[clear]) if (p[clear] > 0.5).sum() >= 5 else 0.5)
 
 
 def _threshold(high: np.ndarray, p: np.ndarray, clean_weight: float = 6.0) -> float:
@@ -258,7 +261,7 @@ def _threshold(high: np.ndarray, p: np.ndarray, clean_weight: float = 6.0) -> fl
     f1 = 2 * tp / (tp + fp + p.sum())
     k = int(np.argmax(f1))
     low = high[order[min(k + 1, len(order) - 1)]]
-    return float(sigmoid(np.array([(high[order[k]] + max(low, high[order[k]] - 2)) / 2]))[0])
+    return float(np.clip(sigmoid(np.array([(high[order[k]] + max(low, high[order[k]] - 2)) / 2]))[0], 0.05, 0.95))
 
 
 class Scorer:

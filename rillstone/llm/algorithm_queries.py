@@ -42,7 +42,11 @@ p AS (SELECT DISTINCT event_id, timestamp * 1000 AS ms, {_symbol('symbol')} AS s
 near AS (SELECT f.fill_id, p.event_id, p.ms - f.ms AS gap_ms, row_number() OVER (PARTITION BY f.fill_id ORDER BY abs(p.ms - f.ms), p.ms, p.event_id) AS nth
   FROM f JOIN p ON f.symbol = p.symbol AND f.exchange = p.exchange AND p.ms BETWEEN f.ms - 30000 AND f.ms + 30000)"""
 
-_DAY = F.to_date(F.timestamp_seconds(seconds(F.col("timestamp"))))
+
+def _day() -> Column:
+    return F.to_date(F.timestamp_seconds(seconds(F.col("timestamp"))))
+
+
 #: The sets of groups for which users are counted.
 USER_SETS = [("day",), ("campaign_id",), ("country",), ("day", "campaign_id"), ("day", "country"), ("campaign_id", "country"), ("day", "campaign_id", "country"), ()]
 
@@ -50,7 +54,7 @@ USER_SETS = [("day",), ("campaign_id",), ("country",), ("day", "campaign_id"), (
 def p4_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users per day, campaign, country and each combination of these, and in all."""
     e = table(spark, sf_dir, "ad_events")
-    groups = {"day": _DAY, "campaign_id": folded(F.col("campaign_id")), "country": F.upper(folded(F.col("country")))}
+    groups = {"day": _day(), "campaign_id": folded(F.col("campaign_id")), "country": F.upper(folded(F.col("country")))}
     part = distinct.registers(e, folded(F.col("user_id")), groups)
     return distinct.estimates(distinct.rolled_up(part, USER_SETS)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
@@ -60,7 +64,7 @@ AT = (0.01, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 def p7_price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the finite prices per symbol and per symbol and day."""
-    e = table(spark, sf_dir, "price_events").select("event_id", folded_symbol(F.col("symbol")).alias("symbol"), _DAY.alias("day"), "price")
+    e = table(spark, sf_dir, "price_events").select("event_id", folded_symbol(F.col("symbol")).alias("symbol"), _day().alias("day"), "price")
     e = one_per_id(e.where("symbol IS NOT NULL AND price IS NOT NULL"), "event_id")
     part = percentiles.counts(e, F.col("price"), {"symbol": F.col("symbol"), "day": F.col("day")})
     out = percentiles.percentiles(percentiles.rolled_up(part, [("symbol",), ("symbol", "day")]), AT)
