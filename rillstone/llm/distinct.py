@@ -52,16 +52,18 @@ def rolled_up(part: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     names = [c for c in part.columns if c not in ("register", "rank")]
     kinds = dict(part.dtypes)
 
-    def of(s: tuple[str, ...]) -> Column:
+    def of(nth: int, s: tuple[str, ...]) -> Column:
         there = F.lit(True)
         for c in s:
             there = there & F.col(c).isNotNull()
         cells = [(F.col(c) if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in names]
-        return F.when(there, F.struct(F.lit("+".join(s) or "all").alias("grouping"), *cells))
+        return F.when(there, F.struct(F.lit(nth).cast("tinyint").alias("nth"), *cells))
 
-    each = part.select(F.explode(F.array(*[of(s) for s in sets])).alias("g"), "register", "rank").where("g IS NOT NULL")
+    each = part.select(F.explode(F.array(*[of(i, s) for i, s in enumerate(sets)])).alias("g"), "register", "rank").where("g IS NOT NULL")
     flat = each.select("g.*", "register", "rank")
-    return flat.groupBy("grouping", *names, "register").agg(F.max("rank").alias("rank"))
+    best = flat.groupBy("nth", *names, "register").agg(F.max("rank").alias("rank"))
+    label = F.element_at(F.array(*[F.lit("+".join(s) or "all") for s in sets]), F.col("nth") + 1)
+    return best.select(label.alias("grouping"), *names, "register", "rank")
 
 
 def estimates(part: DataFrame, precision: int = PRECISION) -> DataFrame:
