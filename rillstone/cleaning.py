@@ -10,6 +10,8 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005
 
 #: An epoch above this is in milliseconds.
 MS_FROM = 100_000_000_000
+#: The epoch seconds of the years 1 to 9999.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 
 
 def trimmed(c: Column) -> Column:
@@ -30,9 +32,10 @@ def folded_symbol(c: Column) -> Column:
 
 
 def seconds(c: Column) -> Column:
-    """Epoch seconds of an epoch in seconds or milliseconds (the floor)."""
+    """Epoch seconds of an epoch in seconds or milliseconds (the floor); NULL outside the years 1 to 9999."""
     ms = c.cast("bigint")
-    return F.when(ms > MS_FROM, (ms - F.pmod(ms, F.lit(1000))) / F.lit(1000)).otherwise(ms).cast("bigint")
+    s = F.when(ms > MS_FROM, (ms - F.pmod(ms, F.lit(1000))) / F.lit(1000)).otherwise(ms).cast("bigint")
+    return F.when(s.between(FIRST_SECOND, LAST_SECOND), s)
 
 
 def one_per_id(df: DataFrame, record_id: str, first_by: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from rillstone.cleaning import one_per_id
 #: Defaults of the event-time configuration, in ms.
 ALLOWED_LATENESS = 0
 MAX_OUT_OF_ORDERNESS = 1000
+#: Times beyond this, in ms, aren't taken for times.
+FARTHEST = 1 << 60
 
 
 def _gcd(a: Column, b: Column) -> Column:
@@ -41,8 +43,8 @@ def classified(events: DataFrame, configs: DataFrame, seq_block_bits: int = 16)
 
     events: event_id, key, value, ms, arrival_seq. configs: key (unique), window_ms, allowed_lateness,
     max_out_of_orderness and optionally slide_ms (NULL or missing: tumbling windows).
-    A record with NULL key, ms or arrival_seq, or of a key without a positive window_ms, takes no part;
-    one with NULL value does.
+    A record with NULL key, ms or arrival_seq, with ms beyond +-2^60, or of a key without a positive
+    window_ms, takes no part; one with NULL value does.
     """
     slide = F.col("slide_ms").cast("bigint") if "slide_ms" in configs.columns else F.lit(None).cast("bigint")
     c = configs.select(
@@ -54,7 +56,7 @@ def classified(events: DataFrame, configs: DataFrame, seq_block_bits: int = 16)
     ).where("c_key IS NOT NULL AND window_ms > 0 AND slide_ms > 0")
     c = c.withColumn("pane_ms", _gcd(F.col("window_ms"), F.col("slide_ms")))
     rows = events.select("event_id", F.col("arrival_seq").cast("bigint").alias("seq"), "key", F.col("ms").cast("bigint").alias("ms"), F.col("value").cast("bigint").alias("value"))
-    rows = one_per_id(rows.where("key IS NOT NULL AND ms IS NOT NULL AND seq IS NOT NULL"), "event_id", ["seq"])
+    rows = one_per_id(rows.where((F.col("key").isNotNull()) & F.col("ms").between(-FARTHEST, FARTHEST) & F.col("seq").isNotNull()), "event_id", ["seq"])
     seen = with_watermark(rows, seq_block_bits)
     joined = seen.join(c, seen["key"] == c["c_key"]).drop("c_key")
     ms, wide, step = F.col("ms"), F.col("window_ms"), F.col("slide_ms")

@@ -94,7 +94,7 @@ def sessions(
     less than `gap` from a slice's border can go on in the next slice: these, at most two per key and
     slice, meet by key and are joined up, all others are spread over the tasks.
 
-    Defined cases: a NULL key or time takes no part. Copies of a record (same key, time and record_id)
+    Defined cases: a NULL key or time, or a time beyond +-2^60, takes no part. Copies of a record (same key, time and record_id)
     count once; rows without record_id count each. A kind that is NULL or not in `kinds` counts as
     other. Events at the same second are one moment. An empty table gives no sessions. Other columns
     of df are ignored whatever their names.
@@ -106,7 +106,7 @@ def sessions(
     t = seconds.cast("bigint")
     rows = df.select(
         key.cast("string").alias("key"), F.floor(t / F.lit(slice_seconds)).cast("bigint").alias("slice"), t.alias("t"), number.cast("int").alias("kind"), record_id.cast("bigint").alias("id")
-    ).where("key IS NOT NULL AND t IS NOT NULL")
+    ).where(F.col("key").isNotNull() & F.col("t").between(-(1 << 60), 1 << 60))
 
     def timers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running = SessionTimers(gap, n_kinds)

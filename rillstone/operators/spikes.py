@@ -27,16 +27,22 @@ def _scale(d: np.ndarray) -> float:
     return 1.4826 * float(np.median(np.abs(d))) if len(d) else 0.0
 
 
-def _levels(x: np.ndarray) -> np.ndarray:
-    """Medians of the neighbours before, after and on both sides of each value, without it: shape (n, 3)."""
+def _levels(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Levels about each value, without it: medians of the neighbours before, after and on both sides, and on the line from before to after: shape (n, 4)."""
     n = len(x)
     pad = np.full(OWN, np.nan)
     w = sliding_window_view(np.concatenate([pad, x, pad]), 2 * OWN + 1)
-    both = np.concatenate([w[:, :OWN], w[:, OWN + 1 :]], axis=1)
-    out = np.full((n, 3), np.nan)
-    for k, part in enumerate((w[:, :OWN], w[:, OWN + 1 :], both)):
+    when = sliding_window_view(np.concatenate([pad, np.where(np.isnan(x), np.nan, t), pad]), 2 * OWN + 1)
+    sides = slice(0, OWN), slice(OWN + 1, 2 * OWN + 1)
+    out, at = np.full((n, 4), np.nan), np.full((n, 2), np.nan)
+    for k, part in enumerate((w[:, sides[0]], w[:, sides[1]], np.concatenate([w[:, sides[0]], w[:, sides[1]]], axis=1))):
         some = ~np.isnan(part).all(axis=1)
         out[some, k] = np.nanmedian(part[some], axis=1)
+        if k < 2:
+            at[some, k] = np.nanmedian(when[some][:, sides[k]], axis=1)
+    span = at[:, 1] - at[:, 0]
+    share = np.divide(t - at[:, 0], span, out=np.full(n, np.nan), where=span > 0)
+    out[:, 3] = out[:, 0] + (out[:, 1] - out[:, 0]) * share
     return out
 
 
@@ -123,7 +129,7 @@ def faults(t: np.ndarray, price: np.ndarray, source: np.ndarray) -> tuple[np.nda
             if len(i) < 3:
                 continue
             y = np.where(spike[i], np.nan, x[i])
-            level = _levels(y)
+            level = _levels(y, t[i].astype(float))
             off = x[i, None] - level
             fine = ~np.isnan(off).all(axis=1)
             near = np.zeros(len(i))
