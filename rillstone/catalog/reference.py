@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.cleaning import one_per_id
 from rillstone.functions import scalar
-from rillstone.operators.aggregates import aggregate, percentile_at_index
+from rillstone.operators.aggregates import accumulated, aggregate, percentile_at_index
 from rillstone.operators.windows import count_window, session, sliding, tumbling
 from rillstone.plans import dialect
 from rillstone.store import table
@@ -231,6 +232,50 @@ def percentile_index(spark, d):
     return percentile_at_index(events(spark, d).df, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
+@query(
+    """WITH h AS (SELECT node_id, unnest(samples) AS v FROM (SELECT histogram_id, any_value(node_id) AS node_id, any_value(samples) AS samples FROM latency_histograms GROUP BY histogram_id)),
+    s AS (SELECT node_id, list_sort(list(v)) AS l, count(v) AS n, sum(v)::BIGINT AS total, min(v) AS least, max(v) AS most FROM h WHERE v IS NOT NULL GROUP BY node_id)
+    SELECT node_id, n, total, least, most, l[floor((n - 1) * 0.5)::INT + 1] AS p50, l[floor((n - 1) * 0.95)::INT + 1] AS p95, l[floor((n - 1) * 0.99)::INT + 1] AS p99 FROM s"""
+)
+def latency_by_node(spark, d):
+    """Latencies of all operators of a node, from the samples each of them keeps."""
+    h = one_per_id(table(spark, d, "latency_histograms").select("histogram_id", "node_id", "samples"), "histogram_id").select("node_id", F.explode("samples").alias("v")).where("v IS NOT NULL")
+    sums = h.groupBy("node_id").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"))
+    p = percentile_at_index(h, ["node_id"], "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed("node_id", "n_id")
+    return sums.join(p, F.col("node_id").eqNullSafe(F.col("n_id"))).drop("n_id")
+
+
+class Spread:
+    """The range of a group's values, in parts."""
+
+    def create(self):
+        return None
+
+    def add(self, state, values):
+        v = values.dropna()
+        return state if v.empty else self.merge(state, (float(v.min()), float(v.max())))
+
+    def merge(self, a, b):
+        return a if b is None else b if a is None else (min(a[0], b[0]), max(a[1], b[1]))
+
+    def result(self, state):
+        return None if state is None else state[1] - state[0]
+
+
+@query("SELECT event_type, round(max(value) - min(value), 4) AS result FROM events GROUP BY event_type")
+def agg_custom(spark, d):
+    return accumulated(events(spark, d).df, ["event_type"], "value", Spread(), "double").select("event_type", r4("result"))
+
+
+@query(f"SELECT event_type, count(*) AS n, start FROM (SELECT event_type, {MS} // {HOUR} * {HOUR} + unnest([0, {HOUR}]) AS start FROM events) GROUP BY ALL")
+def window_custom(spark, d):
+    """Windows of one's own: each event in its hour and in the next."""
+    ms = F.unix_millis("ts")
+    hour = ms - F.pmod(ms, F.lit(HOUR))
+    windows = F.array(*[F.struct((hour + k * HOUR).alias("start"), (hour + (k + 1) * HOUR).alias("end")) for k in (0, 1)])
+    return events(spark, d).window_by(windows).agg(n=aggregate("count")).select("event_type", "n", F.col("window.start").alias("start"))
+
+
 # joins
 def _orders(spark, d):
     o = table(spark, d, "orders").where("o_custkey % 3 <> 0 AND o_orderkey % 5 = 0")

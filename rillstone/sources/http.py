@@ -32,7 +32,8 @@ class HttpPoll(DataSource):
 
     Options: urls (comma-separated), timeout (seconds, 10), max_retries (3), retry_delay (seconds, 1),
     poll_interval (seconds between rounds, 1), value_path and key_path (`$.a.b` in the JSON answer),
-    explode (true: one row for each item of an array), header.NAME (request headers), polls (end after
+    explode (true: one row for each item of an array), log_path (a file on the driver to which every answer is
+    appended as a JSON line of value, timestamp and raw), header.NAME (request headers), polls (end after
     so many rounds; for tests). A url that can't be read after all retries is left out of that round.
 
     Polling can't be repeated: a round is held until it has been committed, so rows may come twice after
@@ -60,6 +61,7 @@ class HttpReader(SimpleDataSourceStreamReader):
         self.value_path, self.key_path = options.get("value_path"), options.get("key_path")
         self.explode, self.polls = options.get("explode", "false") == "true", int(options.get("polls", 0))
         self.headers = {k.split(".", 1)[1]: v for k, v in options.items() if k.startswith("header.")}
+        self.log_path = options.get("log_path")
         self.held: dict[int, list[tuple]] = {}
         self.last = 0.0
 
@@ -95,6 +97,9 @@ class HttpReader(SimpleDataSourceStreamReader):
                 time.sleep(max(0.0, self.last + self.interval - time.time()))
             self.held[n] = [r for u in self.urls if (body := self.get(u)) is not None for r in self.rows(u, body)]
             self.last = time.time()
+            if self.log_path:
+                with open(self.log_path, "a", encoding="utf-8") as log:
+                    log.writelines(json.dumps({"value": v, "timestamp": ms, "raw": raw}, ensure_ascii=False) + "\n" for _, raw, _, v, ms in self.held[n])
         return iter(self.held[n]), {"round": n + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802

@@ -121,6 +121,11 @@ class EventStream:
         """By window and key, or the given columns."""
         return WindowedStream(self, spec, list(by) or [self.key])
 
+    def window_by(self, windows: Column | str, *by: str) -> Grouped:
+        """By windows of one's own: an array of structs (start, end) for each event; groups have a column `window`."""
+        each = self.df.withColumn("window", F.explode(F.expr(windows) if isinstance(windows, str) else windows))
+        return Grouped(self._with(each), ["window", *(by or [self.key])])
+
     def with_watermark(self, delay: str) -> EventStream:
         return self._with(self.df.withWatermark(self.ts, delay))
 
@@ -128,9 +133,11 @@ class EventStream:
         sides = [s.df.select(F.col(s.key).alias("key"), F.col(s.value).alias("value"), F.col(s.ts).alias("ts")) for s in (self, other)]
         return JoinedStream(joins.joined(*sides, how, within_ms, unmatched, null_safe))
 
-    def partitioned(self, n: int, by: str | None = None) -> EventStream:
-        """In n partitions by hash of the key or another column; with by="" in turn."""
-        return self._with(self.df.repartition(n) if by == "" else self.df.repartition(n, by or self.key))
+    def partitioned(self, n: int, by: Column | str | None = None) -> EventStream:
+        """In n partitions by hash of the key, or of another column or expression; with by="" in turn."""
+        if isinstance(by, str) and by == "":
+            return self._with(self.df.repartition(n))
+        return self._with(self.df.repartition(n, self.key if by is None else by))
 
 
 class Grouped:

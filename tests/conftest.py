@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 os.environ.setdefault("OMP_NUM_THREADS", "1")
-os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
+os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], str(Path(__file__).resolve().parent), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")

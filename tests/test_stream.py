@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from rillstone.functions import scalar
-from rillstone.operators.aggregates import aggregate, percentile_at_index
+from rillstone.operators.aggregates import accumulated, aggregate, custom, percentile_at_index
 from rillstone.operators.windows import count_window, session, sliding, tumbling
 from rillstone.stream import EventStream
 
@@ -138,3 +138,25 @@ def test_scalar(spark):
     assert tuple(got[2])[5:] == ("x", 3, 2, 3, 1.25, -3, "2.5", 2, -7.0)
     h = spark.createDataFrame([([("a", "1"), ("b", "2"), ("a", "3")],), ([],), (None,)], "h array<struct<k: string, v: string>>")
     assert [r[0] for r in h.select(scalar.first_header(F.col("h"), "a")).collect()] == ["1", None, None]
+
+
+class Mean:
+    def create(self):
+        return 0.0, 0
+
+    def add(self, state, values):
+        return state[0] + values.sum(), state[1] + values.count()
+
+    def merge(self, a, b):
+        return a[0] + b[0], a[1] + b[1]
+
+    def result(self, state):
+        return state[0] / state[1] if state[1] else None
+
+
+def test_custom_aggregates(spark):
+    s = stream(spark, *[(k, v, 0) for k, v in [("a", 1), ("a", 2), ("a", 6), ("b", None), (None, 4)]])
+    assert rows(accumulated(s.df.repartition(3), ["key"], "value", Mean(), "double")) == [("a", 3.0), ("b", None), (None, 4.0)]
+    assert accumulated(s.df.where("false"), ["key"], "value", Mean(), "double").count() == 0
+    spread = custom(lambda v: v.max() - v.min(), "double")
+    assert rows(s.filter("key = 'a'").group_by("key").agg(x=spread(F.col("value")))) == [("a", 5.0)]

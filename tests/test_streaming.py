@@ -3,6 +3,8 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from conftest import rows
 
+from rillstone.streaming.late import late_windows
+from rillstone.streaming.monitor import QueryMetrics, batches, forget
 from rillstone.streaming.processors import KeyedStore, LateWindows, RunningCount, SessionProcessor
 from rillstone.streaming.run import drained
 
@@ -59,3 +61,33 @@ def test_keyed_store(spark, tmp_path):
     assert sorted((q, n, v) for _, q, _, n, v in rows(out)) == [(3, "ab", "1"), (5, "ab", "1"), (7, "ac", None), (8, "ab", None), (10, "b", None)]
     with pytest.raises(ValueError):
         KeyedStore(policy="random")
+
+
+def test_policies(spark, tmp_path):
+    s = fed(spark, tmp_path, [[("a", 1, 1, 100, 1), ("a", 2, 2, 1500, 1)], [("a", 3, 3, 200, 1), ("a", 4, 4, 4000, 1)], [("a", 5, 5, 300, 1), (None, 6, 6, 300, 1)]], "key string, event_id bigint, seq bigint, ms bigint, value bigint")
+    c = spark.createDataFrame([("a", 1000, 1000, 0)], "key string, window_ms bigint, lateness bigint, disorder bigint")
+    got = {p: [r[0] for r in rows(drained(late_windows(s, c, p)).select("outcome"))] for p in ("drop", "update", "side_output")}
+    assert got == {"drop": ["window"] * 2, "update": ["corrected", "window", "window"], "side_output": ["corrected", "dropped", "window", "window"]}
+    with pytest.raises(ValueError):
+        late_windows(s, c, "ignore")
+
+
+def test_monitor(spark, tmp_path):
+    m = QueryMetrics()
+    spark.streams.addListener(m)
+    try:
+        s = fed(spark, tmp_path, [[("a", 1)], [("b", 2)]], "key string, id bigint")
+        q = s.writeStream.queryName("copy").format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        import time
+
+        for _ in range(50):
+            if "copy" in m.queries and m.queries["copy"]["rows"] == 2:
+                break
+            time.sleep(0.2)
+        assert m.queries["copy"]["rows"] == 2 and 'rillstone_query_rows{query="copy"} 2' in m.text() and '"copy"' in m.as_json()
+    finally:
+        spark.streams.removeListener(m)
+    assert batches(spark, f"{tmp_path}/c") == [1, 0] and batches(spark, f"{tmp_path}/none") == []
+    assert forget(spark, f"{tmp_path}/c") and not forget(spark, f"{tmp_path}/c")
