@@ -9,6 +9,7 @@ from typing import Any, Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 #: By name; each takes a column (count also none).
 AGGREGATES: dict[str, Callable[..., Column]] = {
@@ -50,7 +51,7 @@ def custom(f: Callable[[pd.Series], Any], result: str) -> Callable[[Column], Col
 
     Use Accumulator and accumulated() for groups of any size.
     """
-    return F.pandas_udf(f, result)
+    return F.pandas_udf(f, result, PandasUDFType.GROUPED_AGG)
 
 
 class Accumulator(Protocol):
