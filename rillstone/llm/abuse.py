@@ -21,9 +21,11 @@ WINDOW, STRIDE = 24, 16
 SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 10_000
 #: Rounds of learning, steps of a round and windows of a step; the number of steps doesn't depend on the
 #: data. One in so many clean documents is scored anew in a round.
-ROUNDS, STEPS, BATCH, FRESH = 18, 60, 256, 5
+ROUNDS, STEPS, BATCH, FRESH = 24, 60, 256, 5
 #: Chance from which a document is held to be abusive whatever the network says; share of words unnamed in a step.
 SURE, UNNAMED = 0.85, 0.3
+#: Chance up to which a document counts as clean where the threshold is set: as a rule, two votes for it and none against.
+CLEAN = 0.01
 #: Words by which an abusive window is moved at random, and the share of plain words that are replaced.
 JITTER, REPLACED = 6, 0.3
 #: Words and pieces of text remembered by a worker, windows scored at once.
@@ -36,6 +38,7 @@ SIGNS = str.maketrans("013457@$€!|", "oieastaseii")
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-*_·][^\W\d_]){2,}(?![^\W_])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_OTHER_DIGIT, _DIGITS = re.compile("[2689]"), re.compile(r"\d+")
 _SIGN = re.compile(r"[^\w\s,.'/\-]")
 _CHANGE = re.compile(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=\d)(?=\D)|(?<=[^\w\s])(?=\w)")
 _CAPITAL = re.compile("[A-Z][a-z]+")
@@ -45,10 +48,18 @@ _HEX = re.compile(r"(?=.*\d)[0-9a-f]{6,}")
 
 
 def is_encoded(piece: str) -> bool:
-    """Whether a long piece is encoded data: digits and signs all over, the kind of character changing all the time."""
-    if sum(map(str.isdigit, piece)) < 2 or len(_SIGN.findall(piece)) < 3:
+    """Whether a piece of 20 characters or more is encoded data: digits or signs all over, the kind of character changing all the time."""
+    if sum(map(str.isdigit, piece)) < 2 and len(_SIGN.findall(piece)) < 5:
         return False
-    return len(_CHANGE.findall(piece)) > 0.4 * len(piece)
+    return len(_CHANGE.findall(piece)) > 0.5 * len(piece)
+
+
+def spelled_out(w: str) -> str:
+    """A word with signs and digits for letters. It is taken for a number's name, such as r6286, if it has other digits or more digits than letters."""
+    digits = sum(map(str.isdigit, w))
+    if digits and (_OTHER_DIGIT.search(w) or digits > 3 or digits > len(w) - digits and len(w) > 4):
+        return _DIGITS.sub("0", w)
+    return w.translate(SIGNS)
 
 
 def words_of(piece: str) -> list[str]:
@@ -57,7 +68,7 @@ def words_of(piece: str) -> list[str]:
     Parts of joined names count as words, as does each wide character (Chinese, Japanese, Korean).
     Letters spelled apart by signs are put together; signs and digits within a word are read as letters.
     """
-    if len(piece) >= 30 and is_encoded(piece):
+    if len(piece) >= 20 and is_encoded(piece):
         return ["0x"]
     if not piece.isascii():
         piece = unicodedata.normalize("NFKC", INVISIBLE.sub("", piece))
@@ -74,10 +85,10 @@ def words_of(piece: str) -> list[str]:
                     out.append("0")
                     continue
                 if not w.isalpha():
-                    if _HEX.fullmatch(w):
+                    if _HEX.fullmatch(w) or len(w) > 24:
                         out.append("0x")
                         continue
-                    w = w.translate(SIGNS)
+                    w = spelled_out(w)
             else:
                 if _WIDE.search(w):
                     out += list(w)
@@ -86,7 +97,7 @@ def words_of(piece: str) -> list[str]:
                 if re.search("[a-z]", w):
                     w = w.translate(LOOKALIKES)
                 if not w.isalpha():
-                    w = w.translate(SIGNS)
+                    w = spelled_out(w)
             w = re.sub(r"[^\w]|(.)\1\1+", lambda m: m[1] or "", w)
             if w:
                 out.append(w)
@@ -203,7 +214,8 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7)
     odds = np.log((a + 0.1) / (p[~held].sum() + 1)) - np.log((b + 0.5) / ((1 - p[~held]).sum() + 1))
     odds = np.where(a + b >= 2, np.maximum(odds, 0), 0)
     odds[0] = 0
-    score = np.sort(odds[ids], axis=1)[:, -4:].sum(axis=1)
+    rare = np.sort(odds[ids], axis=1)[:, -4:].sum(axis=1)
+    score = rare.copy()
     whole = lex.inputs()
     flat = np.concatenate([*streams, np.zeros(WINDOW, np.int32)])
     doc_end = np.cumsum([len(x) for x in streams])
@@ -218,7 +230,9 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7)
     many = [np.arange(a, b) for a, b in zip(starts, ends, strict=True)]
     for turn in range(ROUNDS):
         rate = 3e-3 * (1 - 0.8 * turn / ROUNDS)
-        top = np.array([m[np.argmax(score[m])] if len(m) else -1 for m in many])
+        # what the network doesn't know yet is found by its words, less and less so
+        led = score + rare * max(0.0, 1 - turn / (0.7 * ROUNDS))
+        top = np.array([m[np.argmax((led if q >= 0.5 else score)[m])] if len(m) else -1 for m, q in zip(many, p, strict=True)])
         runner = np.array([m[np.argsort(score[m])[-2]] if len(m) > 1 else t for m, t in zip(many, top, strict=True)])
         # a document with one vote of one rater is only learned from once the others have taught to see why
         agree = np.where(p > SURE, 1.0, np.where((score[top] > 0) & (turn >= ROUNDS // 3), 1.0, 0.0))
@@ -250,18 +264,20 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7)
         score[w] = logits(net, net.projected(net.vectors(whole)), ids[w])
     high = np.full(n, -30.0)
     np.maximum.at(high, of, score)
-    clear = held & ((p > SURE) | (p < 1 - SURE))
+    clear = held & ((p > SURE) | (p < CLEAN))
     return Model(net, _threshold(high[clear], p[clear]) if (p[clear] > 0.5).sum() >= 5 else 0.5)
 
 
 def _threshold(high: np.ndarray, p: np.ndarray, clean_weight: float = 6.0) -> float:
-    """The score with the best F1, clean documents counting more as they are rarer among the judged than at large."""
+    """The lowest score, from 0.3 to 0.9, whose F1 is all but the best (by 0.01).
+
+    Clean documents count more, as they are rarer among the judged than at large.
+    """
     order = np.argsort(-high)
     tp, fp = np.cumsum(p[order]), np.cumsum((1 - p[order]) * np.where(p[order] < 0.5, clean_weight, 1.0))
     f1 = 2 * tp / (tp + fp + p.sum())
-    k = int(np.argmax(f1))
-    low = high[order[min(k + 1, len(order) - 1)]]
-    return float(np.clip(sigmoid(np.array([(high[order[k]] + max(low, high[order[k]] - 2)) / 2]))[0], 0.05, 0.95))
+    k = int(np.flatnonzero(f1 >= f1.max() - 0.01)[-1])
+    return float(np.clip(sigmoid(high[order[k : k + 1]])[0], 0.3, 0.9))
 
 
 class Scorer:

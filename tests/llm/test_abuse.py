@@ -68,7 +68,7 @@ def test_without_judgements(spark):
     ("text", "words"),
     [
         ("fire_that_moron(4)", ["fire", "that", "moron", "0"]), ("youAreAnIdiot", ["you", "are", "an", "idiot"]), ("i.d.i.o.t", ["idiot"]), ("m0r0n", ["moron"]), ("p@thetic", ["pathetic"]),
-        ("mоrоn", ["moron"]), ("mo​ron", ["moron"]), ("ImBéCiL", ["imbecil"]), ("白痴", ["白", "痴"]), ("MORON", ["moron"]), ("06fd9103", ["0x"]), ("sooooo", ["so"]), ("...", []), ("идиот", ["идиот"]),
+        ("mоrоn", ["moron"]), ("mo​ron", ["moron"]), ("ImBéCiL", ["imbecil"]), ("白痴", ["白", "痴"]), ("MORON", ["moron"]), ("06fd9103", ["0x"]), ("sooooo", ["so"]), ("...", []), ("r6286", ["r0"]), ("h3ll", ["hell"]), ("n4k3d", ["naked"]), ("zcmV;mK`+;5@Fq9^Ha!oW", ["0x"]), ("идиот", ["идиот"]),
     ],
 )
 def test_words(text, words):
