@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -24,6 +23,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 10_000
 ROUNDS, STEPS, BATCH, FRESH = 24, 60, 256, 5
 #: Chance from which a document is held to be abusive whatever the network says; share of words unnamed in a step.
 SURE, UNNAMED = 0.85, 0.3
+#: With fewer documents that are sure to be abusive, all that are held to be so are learned from at once.
+FEW = 20
 #: Chance up to which a document counts as clean where the threshold is set: as a rule, two votes for it and none against.
 CLEAN = 0.01
 #: Words by which an abusive window is moved at random, and the share of plain words that are replaced.
@@ -227,6 +228,7 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7)
     yes, no = some[p[some] >= 0.5], some[p[some] < 0.5]
     if not len(yes) or not len(no):
         return Model(net, 2.0)
+    sure = p > SURE if (p[yes] > SURE).sum() >= FEW else p >= 0.5
     many = [np.arange(a, b) for a, b in zip(starts, ends, strict=True)]
     for turn in range(ROUNDS):
         rate = 3e-3 * (1 - 0.8 * turn / ROUNDS)
@@ -235,7 +237,7 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7)
         top = np.array([m[np.argmax((led if q >= 0.5 else score)[m])] if len(m) else -1 for m, q in zip(many, p, strict=True)])
         runner = np.array([m[np.argsort(score[m])[-2]] if len(m) > 1 else t for m, t in zip(many, top, strict=True)])
         # a document with one vote of one rater is only learned from once the others have taught to see why
-        agree = np.where(p > SURE, 1.0, np.where((score[top] > 0) & (turn >= ROUNDS // 3), 1.0, 0.0))
+        agree = np.where(sure, 1.0, np.where((score[top] > 0) & (turn >= ROUNDS // 3), 1.0, 0.0))
         # clean documents by two votes that look abusive are learned from more often
         wrong = np.where((cast[no] > 1) & (turn > 0), sigmoid(score[top[no]]), 0) + 0.01
         wrong /= wrong.sum()
