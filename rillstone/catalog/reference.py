@@ -277,16 +277,25 @@ def window_custom(spark, d):
 
 
 # joins
-def _orders(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 3 <> 0 AND o_orderkey % 5 = 0")
+def _all_orders(spark, d):
+    o = table(spark, d, "orders")
     return EventStream(o.select("o_orderkey", F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.lit(None).cast("timestamp").alias("ts")), tie="o_orderkey")
 
 
-def _customers(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 2 = 0")
+def _all_customers(spark, d):
+    c = table(spark, d, "customer")
     return EventStream(c.select("c_custkey", F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"), F.lit(None).cast("timestamp").alias("ts")), tie="c_custkey")
 
 
+def _orders(spark, d):
+    """The part of the orders that the SQL of the queries without _whole names; so too for _customers."""
+    return _all_orders(spark, d).filter("key % 3 <> 0 AND o_orderkey % 5 = 0")
+
+
+def _customers(spark, d):
+    return _all_customers(spark, d).filter("key % 2 = 0")
+
+
 _O = "(SELECT o_custkey AS key, o_totalprice AS value FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 5 = 0)"
 _C = "(SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0)"
 
@@ -325,6 +334,44 @@ def join_combine(spark, d):
     return _orders(spark, d).join(_customers(spark, d)).combine(lambda a, b: a - b).select("key", "value")
 
 
+# the same over the whole tables
+_ALL_O, _ALL_C = "(SELECT o_custkey AS key, o_totalprice AS value FROM orders)", "(SELECT c_custkey AS key, c_acctbal AS value FROM customer)"
+
+
+def _join_whole(how: str, kind: str) -> None:
+    def f(spark, d):
+        return _all_orders(spark, d).join(_all_customers(spark, d), how).df.select("key", "left_value", "right_value")
+
+    f.__name__ = f"join_{how}_whole"
+    query(f"SELECT coalesce(o.key, c.key) AS key, o.value AS left_value, c.value AS right_value FROM {_ALL_O} o {kind} JOIN {_ALL_C} c ON o.key = c.key")(f)
+
+
+for _how, _kind in (("inner", ""), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
+    _join_whole(_how, _kind)
+
+_ALL_PAIRS = f"{_ALL_O} o FULL JOIN {_ALL_C} c ON o.key = c.key"
+
+
+@query(f"SELECT coalesce(o.key, c.key) AS key, round(coalesce(o.value::DOUBLE, 0) + coalesce(c.value::DOUBLE, 0), 4) AS value FROM {_ALL_PAIRS}")
+def join_sum_values_whole(spark, d):
+    return _all_orders(spark, d).join(_all_customers(spark, d), "outer").sum_values().select("key", r4("value"))
+
+
+@query(f"SELECT coalesce(o.key, c.key) AS key, coalesce(o.value, c.value) AS value FROM {_ALL_PAIRS}")
+def join_coalesce_left_whole(spark, d):
+    return _all_orders(spark, d).join(_all_customers(spark, d), "outer").coalesce_left().select("key", "value")
+
+
+@query(f"SELECT coalesce(o.key, c.key) AS key, coalesce(c.value, o.value) AS value FROM {_ALL_PAIRS}")
+def join_coalesce_right_whole(spark, d):
+    return _all_orders(spark, d).join(_all_customers(spark, d), "outer").coalesce_right().select("key", "value")
+
+
+@query(f"SELECT o.key AS key, o.value - c.value AS value FROM {_ALL_O} o JOIN {_ALL_C} c ON o.key = c.key")
+def join_combine_whole(spark, d):
+    return _all_orders(spark, d).join(_all_customers(spark, d)).combine(lambda a, b: a - b).select("key", "value")
+
+
 def _users(spark, d, kind: str) -> EventStream:
     e = events(spark, d, "user_id").filter(F.col("event_type") == kind)
     return EventStream(e.df.select("user_id", F.col("event_id").alias("value"), "ts", "event_id"), "user_id", "value", "ts", "event_id")

@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from rillstone.catalog import reference
 from rillstone.functions import scalar
 from rillstone.operators.aggregates import accumulated, aggregate, custom, percentile_at_index
 from rillstone.operators.windows import count_window, session, sliding, tumbling
@@ -121,6 +122,22 @@ def test_join_results(spark):
         none.join(none, "sideways")
 
 
+def test_joins_of_whole_tables(spark, tmp_path):
+    """Keys without partner on both sides, and rows of all remainders of their ids."""
+    spark.createDataFrame([(1, 1, 10.0), (2, 3, 20.0), (5, 3, 50.0), (7, 8, 70.0), (10, 9, 100.0)], "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (6, 6.0), (8, 8.0)], "c_custkey bigint, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = lambda name: rows(reference.QUERIES[f"join_{name}_whole"](spark, str(tmp_path)))
+    both = [(1, 10.0, 1.0), (3, 20.0, 3.0), (3, 50.0, 3.0), (8, 70.0, 8.0)]
+    left, right = [(9, 100.0, None)], [(2, None, 2.0), (6, None, 6.0)]
+    for how, want in (("inner", both), ("left", both + left), ("right", both + right), ("outer", both + left + right)):
+        assert got(how) == sorted(want, key=repr), how
+    every = both + left + right
+    assert got("sum_values") == sorted(((k, (a or 0) + (b or 0)) for k, a, b in every), key=repr)
+    assert got("coalesce_left") == sorted(((k, a or b) for k, a, b in every), key=repr)
+    assert got("coalesce_right") == sorted(((k, b or a) for k, a, b in every), key=repr)
+    assert got("combine") == sorted(((k, a - b) for k, a, b in both), key=repr)
+
+
 def test_distinct_by(spark):
     s = stream(spark, ("t1", 2, 5), ("t1", 1, 3), (None, 7, 1), (None, 7, 1))
     assert sorted(values(s.distinct_by("key"))) == [1, 7, 7]
