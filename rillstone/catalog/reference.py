@@ -395,6 +395,17 @@ def join_null_safe(spark, d):
     return e.filter("event_id % 100 = 0").join(e.filter("event_id % 101 = 0"), null_safe=True).df.select("left_value", "right_value")
 
 
+_K = "CASE WHEN event_type <> 'view' THEN nullif(user_id % 50, 0) END"
+
+
+@query(f"SELECT a.event_id AS left_value, b.n AS right_value FROM (SELECT event_id, {_K} AS k FROM events) a JOIN (SELECT {_K} AS k, count(*) AS n FROM events GROUP BY ALL) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_null_safe_whole(spark, d):
+    """Each event with the number of events of its key; a fifth and more of all have none. Their pairs would be of quadratic size."""
+    e = events(spark, d).key_by(_K).map("event_id")
+    n = e.group_by("key").agg(value=aggregate("count")).withColumn("ts", F.lit(None).cast("timestamp"))
+    return e.join(EventStream(n, tie="key"), null_safe=True).df.select("left_value", "right_value")
+
+
 BOUND = 10 * HOUR
 
 

@@ -138,6 +138,13 @@ def test_joins_of_whole_tables(spark, tmp_path):
     assert got("combine") == sorted(((k, a - b) for k, a, b in both), key=repr)
 
 
+def test_null_safe_join_of_whole_table(spark, tmp_path):
+    """Events of all remainders of their ids take part, those without a key as one group."""
+    e = [(1, 7, "click"), (2, 57, "error"), (3, 7, "view"), (4, 50, "click"), (5, 9, "view"), (6, 9, "signup")]
+    spark.createDataFrame([(*x, 1.0, T0) for x in e], "event_id bigint, user_id bigint, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(reference.QUERIES["join_null_safe_whole"](spark, str(tmp_path))) == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 3), (6, 1)]
+
+
 def test_distinct_by(spark):
     s = stream(spark, ("t1", 2, 5), ("t1", 1, 3), (None, 7, 1), (None, 7, 1))
     assert sorted(values(s.distinct_by("key"))) == [1, 7, 7]
