@@ -386,6 +386,14 @@ def join_as_tuples(spark, d):
     return a.join(b, "outer").as_tuples().select("key", "value")
 
 
+@query(
+    """SELECT coalesce(a.user_id, b.user_id) AS key, '(' || coalesce(a.event_id::VARCHAR, 'null') || ', ' || coalesce(b.event_id::VARCHAR, 'null') || ')' AS value
+    FROM (SELECT * FROM events WHERE event_type = 'signup') a FULL JOIN (SELECT * FROM events WHERE event_type = 'error') b ON a.user_id = b.user_id"""
+)
+def join_as_tuples_whole(spark, d):
+    return _users(spark, d, "signup").join(_users(spark, d, "error"), "outer").as_tuples().select("key", "value")
+
+
 @query(
     """SELECT a.event_id AS left_value, b.event_id AS right_value FROM (SELECT event_id, nullif(user_id % 50, 0) AS k FROM events WHERE event_id % 100 = 0) a
     JOIN (SELECT event_id, nullif(user_id % 50, 0) AS k FROM events WHERE event_id % 101 = 0) b ON a.k IS NOT DISTINCT FROM b.k"""

@@ -145,6 +145,13 @@ def test_null_safe_join_of_whole_table(spark, tmp_path):
     assert rows(reference.QUERIES["join_null_safe_whole"](spark, str(tmp_path))) == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 3), (6, 1)]
 
 
+def test_tuples_of_whole_table(spark, tmp_path):
+    """Users of all remainders of their ids, with signups only, errors only and both."""
+    e = [(1, 1, "signup"), (2, 1, "error"), (3, 5, "signup"), (4, 7, "error"), (5, 12, "signup"), (6, 12, "error"), (7, 12, "error"), (8, 12, "view")]
+    spark.createDataFrame([(*x, 1.0, T0) for x in e], "event_id bigint, user_id bigint, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(reference.QUERIES["join_as_tuples_whole"](spark, str(tmp_path))) == sorted([(1, "(1, 2)"), (5, "(3, null)"), (7, "(null, 4)"), (12, "(5, 6)"), (12, "(5, 7)")], key=repr)
+
+
 def test_distinct_by(spark):
     s = stream(spark, ("t1", 2, 5), ("t1", 1, 3), (None, 7, 1), (None, 7, 1))
     assert sorted(values(s.distinct_by("key"))) == [1, 7, 7]
