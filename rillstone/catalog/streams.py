@@ -62,6 +62,13 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return drained(s.withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["transaction_id"]).select("transaction_id", "event_id"))
 
 
+def stream_dedup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """With the records that have no transaction id, which all pass."""
+    s = unbounded(spark, d, "stream_events").withColumn("ts", F.col("arrived_at").cast("timestamp"))
+    e = EventStream(s, "key", "value", "ts", "arrival_seq").with_watermark("30 days")
+    return drained(e.distinct_by("transaction_id").df.select("transaction_id", "event_id"))
+
+
 def stream_late_windows(spark: SparkSession, d: str) -> DataFrame:
     use_rocksdb(spark)
     c = table(spark, d, "stream_configs").select("key", "window_ms", F.col("allowed_lateness").alias("lateness"), F.col("max_out_of_orderness").alias("disorder"))
@@ -82,7 +89,7 @@ def _closed(sql: str, end: str = "window_end", delay_ms: int = 1000) -> str:
 
 
 _SESSIONS = BATCH_SQL["session_by_user"]
-QUERIES = {f.__name__: f for f in (stream_filter_map, stream_tumbling, stream_median, stream_session, stream_session_timers, stream_interval_join, stream_dedup, stream_late_windows, stream_running_count)}
+QUERIES = {f.__name__: f for f in (stream_filter_map, stream_tumbling, stream_median, stream_session, stream_session_timers, stream_interval_join, stream_dedup, stream_dedup_whole, stream_late_windows, stream_running_count)}
 SQL = {
     "stream_filter_map": BATCH_SQL["filter_map"],
     "stream_tumbling": _closed(f"SELECT event_type, {start(HOUR)} AS window_start, {start(HOUR)} + {HOUR} AS window_end, count(*) AS n, max(value) AS most FROM events GROUP BY ALL"),
@@ -91,6 +98,7 @@ SQL = {
     "stream_session_timers": f"SELECT user_id::VARCHAR AS key, window_start AS session_start, window_end - {HOUR // 2} AS session_end, count AS n_events FROM ({_closed(_SESSIONS)})",
     "stream_interval_join": BATCH_SQL["join_interval_inner"],
     "stream_dedup": "SELECT transaction_id, min(event_id) AS event_id FROM stream_events WHERE transaction_id IS NOT NULL GROUP BY transaction_id",
+    "stream_dedup_whole": BATCH_SQL["dedup_txn"],
     "stream_late_windows": _P5
     + """,
 ends AS (SELECT s.key, max(ms) - coalesce(any_value(c.max_out_of_orderness), 1000) AS last FROM seen s JOIN stream_configs c USING (key) GROUP BY s.key),

@@ -3,6 +3,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from conftest import rows
 
+from rillstone.catalog import streams
 from rillstone.streaming.late import late_windows
 from rillstone.streaming.monitor import QueryMetrics, batches, forget
 from rillstone.streaming.processors import KeyedStore, LateWindows, RunningCount, SessionProcessor
@@ -37,6 +38,13 @@ def test_late_windows_over_batches(spark, tmp_path):
     assert got == sorted([("window", None, 0, 0, 2, 1), ("corrected", 4, 0, 1, 3, 6), ("window", None, 1000, 0, 1, 1), ("dropped", 6, 0, None, None, None), ("dropped", 7, 0, None, None, None)], key=repr)
 
 
+def test_dedup_keeps_records_without_transaction(spark, tmp_path):
+    r = [(1, "t1"), (2, "t2"), (1, "t1"), (3, None), (3, None), (4, None)]
+    data = [(e, "a", 1, i, i, T0 + timedelta(seconds=i), t) for i, (e, t) in enumerate(r)]
+    spark.createDataFrame(data, "event_id bigint, key string, value bigint, ms bigint, arrival_seq bigint, arrived_at timestamp, transaction_id string").write.parquet(f"{tmp_path}/stream_events.parquet")
+    assert rows(streams.stream_dedup_whole(spark, str(tmp_path))) == sorted([("t1", 1), ("t2", 2), (None, 3), (None, 3), (None, 4)], key=repr)
+
+
 def test_session_timers_over_batches(spark, tmp_path):
     at = lambda k, s: (k, T0 + timedelta(seconds=s))
     s = fed(spark, tmp_path, [[at("a", 0), at("a", 8), at("b", 1)], [at("a", 18), at("a", 40)], [at("c", 200)], [at("c", 400)]], "key string, ts timestamp")
