@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from rillstone.llm.gru import TRIGRAM_ROWS, WORD_ROWS, Network, Words, sigmoid
 
-#: Words of a window, and words from one window to the next.
-WINDOW, STRIDE = 24, 16
+#: Words of a window, and words from one window to the next: a wording of up to 17 words stands whole in a window.
+WINDOW, STRIDE = 24, 8
 #: Bounds of the labelled sample: documents, and characters of each (longer ones are not used to learn).
 SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 10_000
 #: Rounds of learning, steps of a round and windows of a step; the number of steps doesn't depend on the

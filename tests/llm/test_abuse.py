@@ -82,6 +82,12 @@ def test_windows_cover_all_words():
     assert len(abuse.windows_of([])[0]) == 0
 
 
+def test_wordings_stand_whole_in_a_window():
+    ids, _ = abuse.windows_of([np.arange(1, 101, dtype=np.int32)])
+    inside = [set(w) for w in ids.tolist()]
+    assert all(any(set(range(a, a + 17)) <= w for w in inside) for a in range(1, 85))
+
+
 def test_reliable_weighs_votes():
     p = abuse.reliable(np.array([0.0] * 80 + [1.0] * 5 + [3.0] * 15), np.array([3.0] * 100))
     assert p[0] < 0.05 and p[82] < 0.5 and p[-1] > 0.95
