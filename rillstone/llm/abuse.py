@@ -46,10 +46,16 @@ _CAPITAL = re.compile("[A-Z][a-z]+")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[@$€!|#*'’](?=[^\W_])|́)*|[@$](?=[^\W_])(?:[^\W_])+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 _HEX = re.compile(r"(?=.*\d)[0-9a-f]{6,}")
+_JOINED = re.compile(r"(?:[a-z013457@$€!|]+[_.\-])+[a-z013457@$€!|]+")
 
 
 def is_encoded(piece: str) -> bool:
-    """Whether a piece of 20 characters or more is encoded data: digits or signs all over, the kind of character changing all the time."""
+    """Whether a piece of 20 characters or more is encoded data: digits or signs all over, the kind of character changing all the time.
+
+    Joined names in one case, whose only digits and signs are those written for letters, are none.
+    """
+    if (piece.islower() or piece.isupper()) and _JOINED.fullmatch(piece.lower()):
+        return False
     if sum(map(str.isdigit, piece)) < 2 and len(_SIGN.findall(piece)) < 5:
         return False
     return len(_CHANGE.findall(piece)) > 0.5 * len(piece)
@@ -69,11 +75,11 @@ def words_of(piece: str) -> list[str]:
     Parts of joined names count as words, as does each wide character (Chinese, Japanese, Korean).
     Letters spelled apart by signs are put together; signs and digits within a word are read as letters.
     """
-    if len(piece) >= 20 and is_encoded(piece):
-        return ["0x"]
     if not piece.isascii():
         piece = unicodedata.normalize("NFKC", INVISIBLE.sub("", piece))
     piece = _SPELLED.sub(lambda m: re.sub(r"[.\-*_·]", "", m[0]), piece)
+    if len(piece) >= 20 and is_encoded(piece):
+        return ["0x"]
     out = []
     for raw in _WORD.findall(piece):
         parts = _CAMEL.split(raw) if not raw.islower() else [raw]

@@ -75,6 +75,14 @@ def test_words(text, words):
     assert abuse.words_of(text) == words
 
 
+@pytest.mark.parametrize(
+    ("text", "words"),
+    [("k*i*l*l*y*o*u*r*s*e*l*f", ["killyourself"]), ("w·o·r·t·h·l·e·s·s·m·o·r·o·n", ["worthlessmoron"]), ("y0u_4r3_4_p4th3t1c_m0r0n", ["you", "are", "0", "pathetic", "moron"]), ("a1K_b3Xq.7Zp-0Rt5mV4cN", ["0x"])],
+)
+def test_long_disguises_are_no_data(text, words):
+    assert len(text) >= 20 and abuse.words_of(text) == words
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 16, 23, 24, 25, 40, 41, 100):
         ids, of = abuse.windows_of([np.arange(1, n + 1, dtype=np.int32), np.array([5], np.int32)])
