@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -25,22 +24,31 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(rf"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
-#: Longer words go through merge_long: a recursive query takes a step, over the whole word, per merge.
-LONG = 512
-#: Bytes of new words for one recursive query, characters of text worked on at once, pieces remembered.
-QUERY_BYTES, TEXT_CHARS, REMEMBERED = 600_000, 16_000_000, 400_000
-
-#: The words' tokens with their positions; a step contracts each word's leftmost pair of least rank.
+#: Bytes of a word for one line of token-position rows; longer words are put together from such parts.
+PART = 64
+#: Tokens on each side of a seam that are contracted anew, at first.
+SEAM = 6
+#: Bytes for one recursive query, characters of text worked on at once, bytes of words and pieces remembered.
+QUERY_BYTES, TEXT_CHARS, REMEMBERED = 400_000, 16_000_000, 48_000_000
+
+#: The tokens of some lines with the positions of their first byte and of the byte behind them, lines lying
+#: one byte apart; each position is kept once, however many steps there are. A step contracts the pairs
+#: of least rank of each line that still has one: all of them, but for those that overlap with one before,
+#: and, where the merged token takes part in a merge of less rank, only the first. That is the same as
+#: one by one from the left. A line's tokens are those of its last step.
 CONTRACT = """
-WITH RECURSIVE step(i, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM tokens
+WITH RECURSIVE step(w, pos, ends, i, tok) USING KEY (pos) AS (
+  SELECT w, pos, pos + 1, 0, tok FROM tokens
   UNION ALL
-  SELECT i + 1, w, pos, CASE WHEN pos = spot THEN merged ELSE tok END
-  FROM (
-    SELECT i, w, pos, tok, before, rank, merged, min(rank * 1024 + pos) OVER (PARTITION BY w) AS best, best % 1024 AS spot
-    FROM (SELECT i, w, pos, tok, lag(pos) OVER line AS before, lead(tok) OVER line AS follows FROM step WINDOW line AS (PARTITION BY w ORDER BY pos)) AS pairs
-    LEFT JOIN merges ON tok = l AND follows = r)
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM spot)
+  (WITH pairs AS MATERIALIZED (
+     SELECT a.w, a.pos, a.ends, b.ends AS far, a.i, a.tok, rank, merged, alone
+     FROM step a LEFT JOIN step b ON b.pos = a.ends LEFT JOIN merges ON a.tok = l AND b.tok = r),
+   best AS MATERIALIZED (SELECT w, min(rank << 32 | pos) AS least FROM pairs WHERE rank IS NOT NULL GROUP BY w),
+   candidates AS MATERIALIZED (SELECT pos, ends, far, merged FROM pairs JOIN best USING (w) WHERE rank = least >> 32 AND (NOT alone OR pos = least & 4294967295)),
+   chosen AS MATERIALIZED (SELECT * FROM candidates WHERE pos NOT IN (SELECT ends FROM candidates))
+   SELECT p.w, p.pos, coalesce(c.far, p.ends), i + 1, coalesce(c.merged, tok)
+   FROM pairs p SEMI JOIN best USING (w) LEFT JOIN chosen c ON c.pos = p.pos
+   WHERE p.pos NOT IN (SELECT ends FROM chosen)))
 SELECT w, list(tok ORDER BY pos) FROM step JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) AS ended USING (w, i) GROUP BY w
 """
 
@@ -59,70 +67,102 @@ class Encoder:
         model = json.load(open(path, encoding="utf-8"))["model"]
         vocab = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.of_byte = np.array([vocab[c] for c in byte_characters()], np.int32)
+        written = byte_characters()
+        self.of_byte = np.array([vocab[c] for c in written], np.int32)
         table = [(vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(pairs)]
-        self.merges = {(a, b): (k, c) for a, b, k, c in table}
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
+        for token, k in vocab.items():
+            self.sizes[k] = len(token)
+        first: dict[int, int] = {}  # the least rank of a merge that the token takes part in
+        for a, b, k, _ in table:
+            first.setdefault(a, k)
+            first.setdefault(b, k)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         cols = np.array(table, np.int64).reshape(-1, 4).T
-        of_pairs = pa.table({"l": pa.array(cols[0], pa.int32()), "r": pa.array(cols[1], pa.int32()), "rank": cols[2], "merged": pa.array(cols[3], pa.int32())})
+        alone = pa.array([first.get(c, k) < k for _, _, k, c in table], pa.bool_())
+        of_pairs = pa.table({"l": pa.array(cols[0], pa.int32()), "r": pa.array(cols[1], pa.int32()), "rank": cols[2], "merged": pa.array(cols[3], pa.int32()), "alone": alone})
         self.db.register("of_pairs", of_pairs)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM of_pairs")
         self.cut = regex.compile(WORDS)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
-    def merge_long(self, tokens: list[int]) -> list[int]:
-        """The same contraction for one long word, pairs kept in a heap by rank and position."""
-        n = len(tokens)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(self.merges[p][0], i) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in self.merges]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if not alive[i] or (j := after[i]) >= n or (found := self.merges.get((tokens[i], tokens[j]))) is None or found[0] != rank:
-                continue
-            tokens[i], alive[j], after[i] = found[1], False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < n and (p := self.merges.get((tokens[a], tokens[after[a]]))):
-                    heapq.heappush(heap, (p[0], a))
-        return [t for t, on in zip(tokens, alive, strict=True) if on]
-
-    def contract(self, words: list[str]) -> None:
-        """Put the ids of new words into self.words."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        for w, b in zip(words, raw, strict=True):
-            if len(b) > LONG:
-                self.words[w] = np.array(self.merge_long(self.of_byte[np.frombuffer(b, np.uint8)].tolist()), np.int32).tobytes()
-        short = [(w, b) for w, b in zip(words, raw, strict=True) if len(b) <= LONG]
+    def contracted(self, lines: list[bytes]) -> list[np.ndarray]:
+        """The ids of each byte string, by recursive queries over some of them at a time."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(lines)
         size = 0
-        for _, block in groupby([(size := size + len(b), w, b) for w, b in short], lambda x: x[0] // QUERY_BYTES):
+        numbered = [(size := size + len(b), i, b) for i, b in enumerate(lines)]
+        for _, block in groupby(numbered, lambda x: x[0] // QUERY_BYTES):
             _, own, data = zip(*block, strict=True)
             lengths = np.array([len(b) for b in data])
             joined = self.of_byte[np.frombuffer(b"".join(data), np.uint8)]
-            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            tokens = pa.table({"w": pa.array(np.repeat(np.arange(len(own)), lengths), pa.int32()), "pos": pa.array(np.arange(len(joined)) - starts, pa.int32()), "tok": pa.array(joined, pa.int32())})
+            line = np.repeat(np.arange(len(own)), lengths)
+            tokens = pa.table({"w": pa.array(line, pa.int32()), "pos": pa.array(np.arange(len(joined)) + line, pa.int64()), "tok": pa.array(joined, pa.int32())})
             self.db.register("tokens", tokens)
             found = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
             self.db.unregister("tokens")
             ids = found.column(1).combine_chunks() if isinstance(found.column(1), pa.ChunkedArray) else found.column(1)
             flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype(np.int32), ids.offsets.to_numpy()
             for k, w in enumerate(found.column(0).to_pylist()):
-                self.words[own[w]] = flat[offsets[k] : offsets[k + 1]].tobytes()
+                out[own[w]] = flat[offsets[k] : offsets[k + 1]]
+        return out
+
+    def joined(self, sides: list[tuple[np.ndarray, np.ndarray, bytes]]) -> list[np.ndarray]:
+        """The ids of byte strings of which the ids of a left and a right part are known.
+
+        Ids are those of a string if and only if each two neighbours are those of their own bytes, as the
+        first merge over a border would also be made without what stands farther off. So only the
+        tokens about the seam are contracted anew; if the outermost of them stay what they were, all others do.
+        """
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(sides)
+        todo = [(k, SEAM, SEAM) for k in range(len(sides))]
+        while todo:
+            lines = []
+            for k, a, b in todo:
+                left, right, raw = sides[k]
+                middle = int(self.sizes[left].sum())
+                lines.append(raw[middle - int(self.sizes[left[-a:]].sum()) : middle + int(self.sizes[right[:b]].sum())])
+            again = []
+            for (k, a, b), new in zip(todo, self.contracted(lines), strict=True):
+                left, right, _ = sides[k]
+                left_fits, right_fits = a >= len(left) or new[0] == left[-a], b >= len(right) or new[-1] == right[b - 1]
+                if left_fits and right_fits:
+                    out[k] = np.concatenate([left[:-a], new, right[b:]])
+                else:
+                    again.append((k, a if left_fits else 2 * a, b if right_fits else 2 * b))
+            todo = again
+        return out
+
+    def contract(self, words: list[str]) -> None:
+        """Put the ids of new words into self.words: parts of each are contracted, then joined two by two."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        parts = [[b[i : i + PART] for i in range(0, len(b), PART)] for b in raw]
+        distinct = list({p for own in parts for p in own})
+        ids = dict(zip(distinct, self.contracted(distinct), strict=True))
+        lines = [[(ids[p], p) for p in own] for own in parts]
+        while any(len(own) > 1 for own in lines):
+            pairs = [(n, i) for n, own in enumerate(lines) for i in range(0, len(own) - 1, 2)]
+            sides = [(lines[n][i][0], lines[n][i + 1][0], lines[n][i][1] + lines[n][i + 1][1]) for n, i in pairs]
+            done = iter(zip(self.joined(sides), (raw for _, _, raw in sides), strict=True))
+            lines = [[next(done) if i + 1 < len(own) else own[i] for i in range(0, len(own), 2)] for own in lines]
+        for w, own in zip(words, lines, strict=True):
+            self.words[w] = own[0][0].tobytes()
+            self.held += len(self.words[w]) + len(w)
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of new pieces, white space and what follows it, into self.pieces."""
-        if len(self.pieces) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.pieces.clear()
-        if len(self.words) > REMEMBERED:
             self.words.clear()
+            self.held = 0
         new = [p for p in pieces if p not in self.pieces]
         cuts = [self.cut.findall(p) for p in new]
         self.contract([w for w in {w for c in cuts for w in c} if w not in self.words])
         words = self.words
         for p, c in zip(new, cuts, strict=True):
             self.pieces[p] = b"".join([words[w] for w in c])
+            self.held += len(self.pieces[p]) + len(p)
 
     def encode(self, texts: list[str | None]) -> Iterator[list[bytes]]:
         """The ids of the texts as 32-bit numbers, some texts at a time."""
@@ -156,8 +196,9 @@ def encoded(df: DataFrame, doc_id: Column, text: Column, path: str = f"{FOLDER}/
     where doc_id is NULL or occurs again. A NULL and an empty text have an empty list. Texts are never
     cut short. There is no shuffle. Other columns of df are ignored whatever their names.
 
-    Each partition's distinct words are contracted in DuckDB by a recursive query over token-position
-    rows and the merge table; words of more than 512 bytes by a heap, with the same result.
+    Each partition's distinct words are contracted in DuckDB by recursive queries over token-position
+    rows and the merge table. Words of any length go the same way: in parts of 64 bytes, and what the
+    seams between them change is contracted anew, so a query's memory is in proportion to its bytes.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

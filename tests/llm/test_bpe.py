@@ -1,3 +1,4 @@
+import json
 import os
 import random
 
@@ -33,17 +34,45 @@ def test_same_as_tokenizers():
     assert ids(texts) == [x.ids for x in hf().encode_batch(texts, add_special_tokens=False)]
 
 
-def test_long_words_and_memory(monkeypatch):
-    e = bpe.Encoder(PATH)
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize(("n", "size"), [(2000, 300), (1200, 500), (20, 20_000)])
+def test_many_long_words(n, size):
+    """Within the 512 MB that a query may take, whatever the length."""
+    rng = random.Random(size)
+    words = ["".join(rng.choices(LETTERS, k=size)) for _ in range(n)]
+    assert ids(words) == [x.ids for x in hf().encode_batch(words, add_special_tokens=False)]
+
+
+def test_seams():
+    """Words of several parts whose tokens lie over the seams, runs of one letter and of a few."""
     rng = random.Random(7)
-    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(600, 3000))) for _ in range(5)] + ["aaab" * 400]
-    assert ids(words, e) == [x.ids for x in hf().encode_batch(words, add_special_tokens=False)]
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(60, 3000))) for _ in range(30)] + ["aaab" * 400, "a" * 20_001, "ab" * 999, " " * 1999 + "q", "=" * 4097, "日本語" * 500]
+    words += ["x" * n for n in range(bpe.PART - 2, 3 * bpe.PART)]
+    assert ids(words) == [x.ids for x in hf().encode_batch(words, add_special_tokens=False)]
+
+
+def test_merges_out_of_order(tmp_path):
+    """Merges of a token that rank before the one that makes it."""
+    merges = [("abc", "a"), ("b", "c"), ("a", "bc"), ("abca", "bca"), ("bc", "a"), ("d", "d"), ("dd", "d")]
+    tokens = [*bpe.byte_characters(), *dict.fromkeys(a + b for a, b in merges)]
+    path = tmp_path / "small.json"
+    pre = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    path.write_text(json.dumps({"version": "1.0", "added_tokens": [], "pre_tokenizer": pre, "model": {"type": "BPE", "vocab": {t: i for i, t in enumerate(tokens)}, "merges": [f"{a} {b}" for a, b in merges]}}))
+    words = ["abc" * n + "d" * m for n in range(1, 40) for m in range(4)] + ["d" * 99]
+    want = pytest.importorskip("tokenizers").Tokenizer.from_file(str(path)).encode_batch(words, add_special_tokens=False)
+    assert ids(words, bpe.Encoder(str(path))) == [x.ids for x in want]
+
+
+def test_memory_is_emptied(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     monkeypatch.setattr(bpe, "TEXT_CHARS", 50)
     monkeypatch.setattr(bpe, "QUERY_BYTES", 40)
     texts = [f"word{i} and some more words {i}" for i in range(60)]
-    assert ids(texts) == [x.ids for x in hf().encode_batch(texts, add_special_tokens=False)]
-    assert e.of_byte.shape == (256,) and len(set(e.of_byte.tolist())) == 256
+    e = bpe.Encoder(PATH)
+    assert ids(texts, e) == [x.ids for x in hf().encode_batch(texts, add_special_tokens=False)]
+    assert e.of_byte.shape == (256,) and len(set(e.of_byte.tolist())) == 256 and len(e.words) < 20
 
 
 def test_vocabulary_words_are_one_token():
