@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillstone.cleaning import WHITE_SPACE, folded, folded_symbol, one_per_id, seconds
 from rillstone.llm import distinct, percentiles
 from rillstone.llm.nearest_time import nearest
-from rillstone.store import table
+from rillstone.store import table, written
 
 _WS = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
 
@@ -47,16 +47,56 @@ def _day() -> Column:
     return F.to_date(F.timestamp_seconds(seconds(F.col("timestamp"))))
 
 
-#: The sets of groups for which users are counted.
-USER_SETS = [("day",), ("campaign_id",), ("country",), ("day", "campaign_id"), ("day", "country"), ("campaign_id", "country"), ("day", "campaign_id", "country"), ()]
+#: The sets of groups for which users are counted; of sets with as many columns the smaller ones stand last.
+USER_SETS = [("day", "campaign_id", "country"), ("day", "campaign_id"), ("campaign_id", "country"), ("day", "country"), ("campaign_id",), ("day",), ("country",), ()]
+
+
+def _user_groups() -> dict[str, Column]:
+    return {"day": _day(), "campaign_id": folded(F.col("campaign_id")), "country": F.upper(folded(F.col("country")))}
+
+
+def _user_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = written(distinct.registers(table(spark, sf_dir, "ad_events"), folded(F.col("user_id")), _user_groups()))
+    return distinct.estimates(distinct.rolled_up(part, USER_SETS))
 
 
 def p4_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users per day, campaign, country and each combination of these, and in all."""
-    e = table(spark, sf_dir, "ad_events")
-    groups = {"day": _day(), "campaign_id": folded(F.col("campaign_id")), "country": F.upper(folded(F.col("country")))}
-    part = distinct.registers(e, folded(F.col("user_id")), groups)
-    return distinct.estimates(distinct.rolled_up(part, USER_SETS)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return _user_estimates(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+#: The least exact counts of the classes of groups by size.
+SIZES = (20_001, 8_000, 1_000, 100, 1)
+
+
+def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the bounds hold: groups by their exact number of users, from `at_least` on.
+
+    at_least, n_groups, users (the sum of the exact numbers), covered: at least 93 % of the groups, or in a
+    class of less than 30 all but two, have the exact number within lower and upper.
+    """
+    e = table(spark, sf_dir, "ad_events").select(*[c.alias(n) for n, c in _user_groups().items()], folded(F.col("user_id")).alias("user_id")).where("user_id IS NOT NULL").distinct()
+    of = lambda s: F.when(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in s) or "true"), F.struct(F.lit("+".join(s) or "all").alias("grouping"), *[(F.col(c) if c in s else F.lit(None).cast(k)).alias(c) for c, k in e.dtypes[:-1]]))
+    each = e.select(F.explode(F.array(*[of(s) for s in USER_SETS])).alias("g"), "user_id").where("g IS NOT NULL").select("g.*", "user_id").distinct()
+    names = ["grouping", *_user_groups()]
+    exact = each.groupBy(*names).agg(F.count(F.lit(1)).alias("exact")).alias("x")
+    told = _user_estimates(spark, sf_dir).alias("y")
+    both = exact.join(told, [F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")) for n in names], "left")
+    least = F.lit(SIZES[-1])
+    for n in reversed(SIZES):
+        least = F.when(F.col("exact") >= n, F.lit(n)).otherwise(least)
+    inside = F.coalesce(F.col("exact").between(F.col("lower"), F.col("upper")), F.lit(False)).cast("bigint")
+    out = both.groupBy(least.alias("at_least")).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("exact").alias("users"), F.sum(inside).alias("inside"))
+    return out.select("at_least", "n_groups", "users", ((F.col("inside") >= 0.93 * F.col("n_groups")) | (F.col("n_groups") < 30) & (F.col("n_groups") - F.col("inside") <= 2)).alias("covered"))
+
+
+_P4_SETS = ", ".join("(" + ", ".join(s) + ")" for s in USER_SETS)
+P4_COVERAGE_SQL = f"""
+WITH e AS (SELECT DISTINCT CAST(to_timestamp(CASE WHEN timestamp > 100000000000 THEN timestamp // 1000 ELSE timestamp END) AT TIME ZONE 'UTC' AS DATE) AS day,
+  {_fold('campaign_id')} AS campaign_id, upper({_fold('country')}) AS country, {_fold('user_id')} AS user_id FROM ad_events WHERE {_fold('user_id')} IS NOT NULL),
+counted AS (SELECT count(DISTINCT user_id) AS exact FROM e GROUP BY GROUPING SETS ({_P4_SETS})
+  HAVING (grouping(day) = 1 OR day IS NOT NULL) AND (grouping(campaign_id) = 1 OR campaign_id IS NOT NULL) AND (grouping(country) = 1 OR country IS NOT NULL) AND count(*) > 0)
+SELECT CASE {' '.join(f'WHEN exact >= {n} THEN {n}' for n in SIZES)} END::INTEGER AS at_least, count(*) AS n_groups, sum(exact)::BIGINT AS users, true AS covered FROM counted GROUP BY ALL"""
 
 
 AT = (0.01, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -108,12 +148,14 @@ QUERIES = {
     "p2_matches": p2_matches,
     "p2_found": p2_found,
     "p4_distinct_users": p4_distinct_users,
+    "p4_coverage": p4_coverage,
     "p7_price_percentiles": p7_price_percentiles,
     "p7_latency_percentiles": p7_latency_percentiles,
 }
 SQL = {
     "p2_matches": _P2 + " SELECT fill_id, event_id, gap_ms FROM near WHERE nth = 1",
     "p2_found": _P2 + " SELECT fill_id, event_id FROM near WHERE nth = 1",
+    "p4_coverage": P4_COVERAGE_SQL,
     "p7_price_percentiles": P7_PRICE_SQL,
     "p7_latency_percentiles": P7_LATENCY_SQL,
 }

@@ -11,28 +11,20 @@ from pyspark.sql import functions as F
 PRECISION = 12
 
 
-def _leading_zeros(x: Column) -> Column:
-    """Of a 64-bit number: its bits are smeared to the right and counted."""
-    for by in (1, 2, 4, 8, 16, 32):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-    return F.lit(64) - F.bit_count(x)
-
-
 def registers(df: DataFrame, item: Column, groups: dict[str, Column], precision: int = PRECISION) -> DataFrame:
-    """The partial result: one row per group and register in use: the group columns, register, rank.
+    """The partial result: one row per group: the group columns and `sketch`, the group's registers packed.
 
-    An item's 64-bit hash picks the register with its first `precision` bits; the rank is the number of
-    leading zeros of the other bits, plus 1, and a register keeps the largest. Registers that no item
-    picked have no row, so a group never holds more rows than it has items, or than 2^precision.
+    Each item's hash picks one of 2^precision registers, which keeps the largest rank (leading zeros of
+    the other bits, plus 1). A group of few items holds only the registers in use, so it takes some bytes
+    per item, and no group more than about 2^precision bytes. Rows are combined where they lie before
+    anything moves.
 
     A NULL item takes no part; group columns may be NULL. An item that occurs again changes nothing,
     so redelivered records need no care. Other columns of df are ignored whatever their names.
     """
-    assert 4 <= precision <= 18
-    cols = [c.alias(name) for name, c in groups.items()]
-    h = df.select(*cols, item.alias("__item")).where("__item IS NOT NULL").withColumn("__h", F.xxhash64("__item"))
-    rest = F.shiftleft("__h", precision).bitwiseOR(F.lit(1 << (precision - 1)))  # at most 64 - precision zeros
-    return h.groupBy(*groups, F.shiftrightunsigned("__h", 64 - precision).cast("int").alias("register")).agg(F.max(_leading_zeros(rest) + 1).cast("tinyint").alias("rank"))
+    assert 4 <= precision <= 21
+    rows = df.select(*[c.alias(name) for name, c in groups.items()], item.cast("string").alias("__item")).where("__item IS NOT NULL")
+    return rows.groupBy(*groups).agg(F.hll_sketch_agg("__item", F.lit(precision)).alias("sketch"))
 
 
 def merged(*parts: DataFrame) -> DataFrame:
@@ -40,7 +32,12 @@ def merged(*parts: DataFrame) -> DataFrame:
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return both.groupBy(*[c for c in both.columns if c != "rank"]).agg(F.max("rank").alias("rank"))
+    return _merged_by(both, [c for c in both.columns if c != "sketch"])
+
+
+def _merged_by(part: DataFrame, names: list[str]) -> DataFrame:
+    # without group columns, no rows give no group
+    return part.groupBy(*(names or [F.lit(1).alias("__all")])).agg(F.hll_union_agg("sketch").alias("sketch")).select(*names, "sketch")
 
 
 def rolled_up(part: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
@@ -48,43 +45,42 @@ def rolled_up(part: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
 
     A column that isn't in a set is NULL there, and `grouping` names the set. A row whose own value of a
     column in the set is NULL takes no part in that set.
+
+    Each set is merged from the smallest set with its columns that is there already, or else from `part`;
+    of several with as few columns, from the one named last in `sets`. So `part` is best a stored table.
     """
-    names = [c for c in part.columns if c not in ("register", "rank")]
+    names = [c for c in part.columns if c != "sketch"]
     kinds = dict(part.dtypes)
-
-    def of(nth: int, s: tuple[str, ...]) -> Column:
-        there = F.lit(True)
+    made: dict[tuple[str, ...], DataFrame] = {tuple(names): part}
+    out = None
+    for s in sorted(sets, key=len, reverse=True):
+        if s not in made or set(s) != set(names):
+            parents = [p for p in made if set(s) < set(p)]
+            if parents:
+                fewest = min(map(len, parents))
+                made[s] = _merged_by(made[[p for p in parents if len(p) == fewest][-1]], list(s))
+        rows = made[s]
         for c in s:
-            there = there & F.col(c).isNotNull()
-        cells = [(F.col(c) if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in names]
-        return F.when(there, F.struct(F.lit(nth).cast("tinyint").alias("nth"), *cells))
-
-    each = part.select(F.explode(F.array(*[of(i, s) for i, s in enumerate(sets)])).alias("g"), "register", "rank").where("g IS NOT NULL")
-    flat = each.select("g.*", "register", "rank")
-    best = flat.groupBy("nth", *names, "register").agg(F.max("rank").alias("rank"))
-    label = F.element_at(F.array(*[F.lit("+".join(s) or "all") for s in sets]), F.col("nth") + 1)
-    return best.select(label.alias("grouping"), *names, "register", "rank")
+            rows = rows.where(F.col(c).isNotNull())
+        labelled = rows.select(F.lit("+".join(s) or "all").alias("grouping"), *[(F.col(c) if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in names], "sketch")
+        out = labelled if out is None else out.unionByName(labelled)
+    return out
 
 
 def estimates(part: DataFrame, precision: int = PRECISION) -> DataFrame:
     """Per group: distinct (the estimate), standard_error (relative), lower and upper (two standard errors).
 
-    The harmonic mean of the registers; linear counting of the empty ones where few are in use, which
-    is nearly exact for small groups.
+    The estimate comes from the registers alone, so it doesn't depend on the order of the items or on
+    how partial results were put together. It has no bias, and small groups are all but exact.
     """
-    m = 1 << precision
-    alpha = 0.7213 / (1 + 1.079 / m)
-    names = [c for c in part.columns if c not in ("register", "rank")]
-    sums = part.groupBy(*names).agg(F.count(F.lit(1)).alias("used"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("s"))
-    empty = F.lit(m) - F.col("used")
-    raw = F.lit(alpha * m * m) / (F.col("s") + empty)
-    linear = F.lit(float(m)) * F.log(F.lit(float(m)) / F.greatest(empty, F.lit(1)))
-    value = F.when((raw <= 2.5 * m) & (empty > 0), linear).otherwise(raw)
-    error = 1.04 / math.sqrt(m)
-    return sums.select(
+    names = [c for c in part.columns if c != "sketch"]
+    # a sketch merged with itself has the same registers, but nothing that depends on the order of its items
+    value = F.hll_sketch_estimate(F.hll_union("sketch", "sketch"))
+    error = 1.04 / math.sqrt(1 << precision)
+    return part.select(*names, value.alias("distinct")).select(
         *names,
-        F.round(value).cast("bigint").alias("distinct"),
+        "distinct",
         F.lit(error).alias("standard_error"),
-        F.floor(value * (1 - 2 * error)).cast("bigint").alias("lower"),
-        F.ceil(value * (1 + 2 * error)).cast("bigint").alias("upper"),
+        F.floor(F.col("distinct") * (1 - 2 * error)).cast("bigint").alias("lower"),
+        F.ceil(F.col("distinct") * (1 + 2 * error)).cast("bigint").alias("upper"),
     )
