@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rillstone.cleaning import one_per_id
 
-#: Rows that are worked on at once, if they hold whole groups.
+#: Rows of whole groups that are worked on at once.
 BLOCK = 1 << 16
 
 
@@ -98,35 +98,103 @@ class XFastTrie:
         return pred, succ
 
 
-def _nearest(rows: pa.Table, bits: int, bucket_bits: int, tolerance: int) -> pa.RecordBatch:
-    """Matches within whole groups of ordered rows (entity, bucket, side, ms, id)."""
+class Side:
+    """The right records of some groups in a trie, against which left records are matched."""
+
+    def __init__(self, spots: np.ndarray, ids: np.ndarray, bits: int, tolerance: int):
+        self.ids, self.tolerance = ids, tolerance
+        self.trie = XFastTrie(spots, bits) if len(spots) else None
+
+    def matches(self, q: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        far = np.int64(1) << 62
+        if self.trie is None:
+            ok, gap, best, back = np.zeros(len(q), bool), q, q, q
+        else:
+            leaves = self.trie.leaves
+            pred, succ = self.trie.neighbours(q)
+            back = np.where(pred >= 0, q - leaves[pred], far)
+            ahead = np.where(succ >= 0, leaves[succ] - q, far)
+            gap, best = np.where(back <= ahead, -back, ahead), np.where(back <= ahead, pred, succ)
+            ok = np.minimum(back, ahead) <= self.tolerance
+        right = self.ids[best[ok]] if ok.any() else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(right), pa.array(gap[ok])], names=["left_id", "right_id", "gap_ms"])
+
+
+def _groups(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Numbers, from 0, of the groups (entity, bucket) of ordered rows."""
     n = rows.num_rows
-    entity, bucket = rows.column(0).combine_chunks(), rows.column(1).to_numpy()
-    other = np.ones(n, bool)
-    other[1:] = pc.not_equal(entity.slice(1), entity.slice(0, n - 1)).to_numpy(zero_copy_only=False) | (bucket[1:] != bucket[:-1])
-    group = np.cumsum(other) - 1
-    side, ms, ids = (rows.column(k).to_numpy() for k in (2, 3, 4))
-    spot = (group << bits) | (ms - (bucket << bucket_bits) + tolerance)
-    of = side == 0
-    leaves, leaf_ids, q = spot[of], ids[of], spot[~of]
-    if not len(leaves):
-        pred = succ = np.full(len(q), -1, np.int64)
-        leaves = leaf_ids = np.zeros(1, np.int64)
-    else:
-        pred, succ = XFastTrie(leaves, bits).neighbours(q)
-    far = np.int64(1) << 62
-    back = np.where(pred >= 0, q - leaves[pred], far)
-    ahead = np.where(succ >= 0, leaves[succ] - q, far)
-    earlier = back <= ahead
-    gap, best = np.where(earlier, back, ahead), np.where(earlier, pred, succ)
-    ok = gap <= tolerance
-    return pa.RecordBatch.from_arrays([pa.array(ids[~of][ok]), pa.array(leaf_ids[best[ok]]), pa.array(np.where(earlier, -gap, gap)[ok])], names=["left_id", "right_id", "gap_ms"])
+    entity, bucket = rows.column(0), rows.column(1).to_numpy()
+    other = np.zeros(n, bool)
+    if n > 1:
+        other[1:] = pc.not_equal(entity.slice(1), entity.slice(0, n - 1)).to_numpy(zero_copy_only=False) | (bucket[1:] != bucket[:-1])
+    return np.cumsum(other)
+
+
+class Matcher:
+    """Matches in rows (entity, bucket, side, ms, id) that come in this order, a batch at a time.
+
+    Whole groups are matched together, some rows at a time. A group of more rows than that is matched by
+    itself: its trie is built once, when its right records are all there, and its left records pass by.
+    """
+
+    def __init__(self, bits: int, bucket_bits: int, tolerance: int):
+        self.bits, self.bucket_bits, self.tolerance = bits, bucket_bits, tolerance
+        self.whole: list[pa.RecordBatch] = []  # batches of groups that are all there
+        self.part: list[pa.RecordBatch] = []  # the last group so far
+        self.open: tuple[object, int, Side] | None = None  # or its trie
+
+    def _spots(self, rows: pa.Table | pa.RecordBatch, groups: np.ndarray | int) -> np.ndarray:
+        return (groups << self.bits) | (rows.column(3).to_numpy() - (rows.column(1).to_numpy() << self.bucket_bits) + self.tolerance)
+
+    def _side(self, rows: pa.Table) -> tuple[Side, np.ndarray, np.ndarray]:
+        """The right records of rows, and spots and ids of the left ones."""
+        spots, of, ids = self._spots(rows, _groups(rows)), rows.column(2).to_numpy() == 0, rows.column(4).to_numpy()
+        return Side(spots[of], ids[of], self.bits, self.tolerance), spots[~of], ids[~of]
+
+    def _all(self, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if batches:
+            side, q, ids = self._side(pa.Table.from_batches(batches).combine_chunks())
+            yield side.matches(q, ids)
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        groups = _groups(batch)
+        entity, bucket = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+        if self.open is not None:
+            if self.open[:2] == (entity, bucket):  # left records of the open group
+                n = int(np.searchsorted(groups, 1))
+                now = batch.slice(0, n)
+                yield self.open[2].matches(self._spots(now, 0), now.column(4).to_numpy())
+                batch, groups = batch.slice(n), groups[n:]
+            if not batch.num_rows:
+                return
+            self.open = None
+        elif self.part and (self.part[0].column(0)[0].as_py(), self.part[0].column(1)[0].as_py()) == (entity, bucket):
+            n = int(np.searchsorted(groups, groups[0] + 1))
+            self.part.append(batch.slice(0, n))
+            batch, groups = batch.slice(n), groups[n:]
+        if batch.num_rows:
+            last = int(np.searchsorted(groups, groups[-1]))
+            self.whole += [*self.part, *([batch.slice(0, last)] if last else [])]
+            self.part = [batch.slice(last)]
+        if sum(b.num_rows for b in self.whole) >= BLOCK:
+            yield from self._all(self.whole)
+            self.whole = []
+        if sum(b.num_rows for b in self.part) >= BLOCK and self.part[-1].column(2)[-1].as_py() == 1:
+            rows = pa.Table.from_batches(self.part).combine_chunks()
+            side, q, ids = self._side(rows)
+            yield side.matches(q, ids)
+            self.open, self.part = (rows.column(0)[0].as_py(), rows.column(1)[0].as_py(), side), []
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self._all(self.whole + self.part)
 
 
 def nearest(
     left: DataFrame, left_id: Column, left_entity: Column, left_ms: Column,
     right: DataFrame, right_id: Column, right_entity: Column, right_ms: Column,
-    tolerance_ms: int = 30_000, bucket_bits: int = 22,
+    tolerance_ms: int = 30_000, bucket_bits: int = 20,
 ) -> DataFrame:
     """For each left record the right record of the same entity that is nearest in time: left_id, right_id, gap_ms.
 
@@ -137,7 +205,7 @@ def nearest(
     The time line of an entity is cut into buckets of 2^bucket_bits ms, right records near a border go
     to both buckets, and the tries are built per entity and bucket: however many records an entity
     has, no bucket holds more than 2^bucket_bits + 2 * tolerance_ms leaves, as right records of one
-    time are reduced to their smallest id before; left records pass by in blocks.
+    time are reduced to their smallest id before. A bucket's trie is built once; left records pass by in blocks.
 
     Defined cases: a record with NULL id, entity or time takes no part. Rows with the same left_id are
     one record (the earliest). Empty tables give no rows. Other columns are ignored whatever their names.
@@ -154,24 +222,10 @@ def nearest(
     )
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        matcher = Matcher(bits, bucket_bits, tolerance_ms)
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < BLOCK:
-                continue
-            rows = pa.Table.from_batches(held)
-            entity, bucket, side = rows.column(0), rows.column(1).to_numpy(), rows.column(2).to_numpy()
-            last = pc.equal(entity, entity[-1]).to_numpy() & (bucket == bucket[-1])
-            start = int(np.flatnonzero(last)[0])
-            if start:  # all groups but the last are whole
-                yield _nearest(rows.slice(0, start), bits, bucket_bits, tolerance_ms)
-                rows, side = rows.slice(start), side[start:]
-            if len(side) >= BLOCK and side[-1] == 1:  # its leaves are all there, more points may come
-                yield _nearest(rows, bits, bucket_bits, tolerance_ms)
-                rows = rows.slice(0, int(np.searchsorted(side, 1)))
-            held = rows.to_batches()
-        if held and (rows := pa.Table.from_batches(held)).num_rows:
-            yield _nearest(rows, bits, bucket_bits, tolerance_ms)
+            yield from matcher.add(batch)
+        yield from matcher.end()
 
     ordered = both.repartition("entity", "bucket").sortWithinPartitions("entity", "bucket", "side", "ms", "id")
     return ordered.mapInArrow(match, "left_id bigint, right_id bigint, gap_ms bigint")

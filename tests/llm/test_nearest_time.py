@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -55,6 +56,28 @@ def test_many_points_in_one_group(spark):
     assert out.where("right_id <> left_id % 1000 OR gap_ms <> -1").count() == 0
 
 
+def test_tries_are_built_once(monkeypatch):
+    """However many left records pass by; and rows in batches of any size give the same matches."""
+    built = []
+    monkeypatch.setattr(nearest_time, "XFastTrie", lambda *a: built.append(1) or XFastTrie(*a))
+    rng = np.random.default_rng(1)
+    size = {"a": 30_000, "b": 10, "c": 40_000, "d": 1}
+    parts = []
+    for e, n in size.items():
+        for side in (0, 1):
+            ms = np.sort(rng.choice(1 << 20, n, replace=False)) if side == 0 else np.sort(rng.integers(0, 1 << 20, 3 * n))
+            parts.append(pa.table({"entity": [e] * len(ms), "bucket": np.zeros(len(ms), np.int64), "side": np.full(len(ms), side, np.int32), "ms": ms, "id": np.arange(len(ms))}))
+    rows_ = pa.concat_tables(parts)
+    results = []
+    for step in (10_000, 777_777, 3_333):
+        built.clear()
+        m = nearest_time.Matcher(21, 20, 300)
+        out = [b for batch in rows_.to_batches(max_chunksize=step) for b in m.add(batch)] + list(m.end())
+        assert len(built) <= len(size)
+        results.append(sorted(zip(*(pa.Table.from_batches(out)[k].to_pylist() for k in range(3)), strict=True)))
+    assert results[0] == results[1] == results[2] and len(results[0]) > 100_000
+
+
 def test_trie():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 50, 5000))
