@@ -14,17 +14,20 @@ from rillstone.cleaning import one_per_id
 BLOCK_ROWS, MARGIN_ROWS = 24_000, 3_000
 #: Neighbours on each side that make up the local level, of the source itself and of its peers.
 OWN, PEERS = 5, 4
-#: A spike leaves its own level by so many times the source's scatter, and its peers' level by so many.
-OWN_LIMIT, PEER_LIMIT = 12.0, 6.0
+#: A point outside the ellipsoid is no spike if it is nearer to a level of its neighbours or peers than this
+#: share of its own deviation, or of the ellipsoid's reach.
+OWN_SHARE, REACH_SHARE = 1 / 2, 2 / 3
 #: A run counts as stuck if fewer than this many runs so long are to be expected among the source's runs.
 RUN_CHANCE, SHORTEST_RUN = 1e-4, 6
-ROUNDS = 6
+#: The 90 % quantile of the length of three independent normal values with scatter 1 (chi, 3 degrees of freedom).
+CHI_90 = 2.5003
 
 
 def _scale(d: np.ndarray) -> float:
-    """Robust standard deviation of differences around 0."""
-    d = d[np.isfinite(d)]
-    return 1.4826 * float(np.median(np.abs(d))) if len(d) else 0.0
+    """Robust standard deviation around 0; of the values that aren't 0, if most of them are."""
+    d = np.abs(d[np.isfinite(d)])
+    half = float(np.median(d)) if len(d) else 0.0
+    return 1.4826 * (half or (float(np.median(d[d > 0])) if (d > 0).any() else 0.0))
 
 
 def _levels(x: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -64,22 +67,36 @@ def _peer_distance(z: np.ndarray, t: np.ndarray, own: np.ndarray, peers: np.ndar
     return np.min(np.abs(z[own][:, None] - np.stack(each, axis=1)), axis=1)
 
 
-def outside_ellipsoid(u: np.ndarray) -> np.ndarray:
-    """Phase-space thresholding: points (u, first, second difference) outside the robust ellipsoid.
+def outside_ellipsoid(u: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Phase-space thresholding: which points (u, first, second difference) lie outside the robust ellipsoid; how far out all lie; the reach.
 
-    Its axes are the robust standard deviations times the universal threshold sqrt(2 ln n), the largest
-    deviation to be expected of n normal values.
+    The ellipsoid is turned in the plane of u and its second difference, which go against each other, by
+    the angle of their robust correlation. Its half axes are the robust standard deviations along the
+    turned axes times the universal threshold sqrt(2 ln n), the largest deviation to be expected of n
+    normal values; where the source's own points lie farther out than normal ones, by their 90 %
+    quantile, the reach grows with them. Shape and reach come from the points `kept`.
     """
-    if len(u) < 3:
-        return np.zeros(len(u), bool)
+    n = int(kept.sum())
+    if n < 3:
+        return np.zeros(len(u), bool), np.zeros(len(u)), np.inf
     d1 = np.gradient(u)
     d2 = np.gradient(d1)
-    reach = np.sqrt(2 * np.log(len(u)))
+    a, b = u[kept], d2[kept]
+    calm = (np.abs(a) <= 3 * _scale(a)) & (np.abs(b) <= 3 * _scale(b))
+    angle = np.arctan2((a[calm] * b[calm]).sum(), (a[calm] ** 2).sum())
     r = np.zeros(len(u))
-    for part in (u, d1, d2):
-        s = _scale(part - np.median(part))
-        r += (part / (reach * s)) ** 2 if s > 0 else np.where(part != 0, np.inf, 0.0)
-    return r > 1
+    for part in (np.cos(angle) * u + np.sin(angle) * d2, d1, np.cos(angle) * d2 - np.sin(angle) * u):
+        s = _scale(part[kept])
+        r += (part / s) ** 2 if s > 0 else 0.0  # without scatter all points lie on the plane
+    r = np.sqrt(r)
+    reach = np.sqrt(2 * np.log(n)) * max(1.0, float(np.quantile(r[kept], 0.9)) / CHI_90)
+    return r > reach, r, reach
+
+
+def _outermost(r: np.ndarray) -> np.ndarray:
+    """Points that lie as far out as any of the two before and after, whose differences they have a part in."""
+    pad = np.concatenate([[0, 0], r, [0, 0]])
+    return r >= np.max([pad[k : k + len(r)] for k in range(5)], axis=0)
 
 
 def stuck_runs(p: np.ndarray) -> np.ndarray:
@@ -105,56 +122,58 @@ def faults(t: np.ndarray, price: np.ndarray, source: np.ndarray) -> tuple[np.nda
     """Fault of each record of a group of sources that measure the same thing: 0 none, 1 spike, 2 stuck, 3 impossible; and its deviation in scatters.
 
     Records come ordered by time; source holds small numbers. A missing price must not be among them.
+
+    A record's deviation is that from the median of its neighbours. In each round the points outside the
+    ellipsoid of their source that lie farthest out are taken for spikes, if nothing speaks for them, and
+    are replaced; rounds go on until a source has no new ones. What speaks for a point is that it lies on
+    the level of its neighbours before or after it, or on the line between these - then it is a move to
+    another level -, or on that of the other sources, who share the move.
     """
     n = len(price)
     kind, score = np.zeros(n, np.int8), np.zeros(n)
+    if not n:
+        return kind, score
     possible = np.isfinite(price) & (price > 0)
     kind[~possible] = 3
-    n_sources = int(source.max()) + 1 if n else 0
-    of = [np.flatnonzero((source == k) & possible) for k in range(n_sources)]
+    of = [np.flatnonzero((source == k) & possible) for k in range(int(source.max()) + 1)]
     x = np.full(n, np.nan)
     x[possible] = np.log(price[possible])
-    scatter = np.zeros(n_sources)
-    for k, i in enumerate(of):
+    bias, scatter = np.zeros(len(of)), np.full(len(of), 1e-9)
+    for i in of:
         kind[i[stuck_runs(price[i])]] = 2
+    for k, i in enumerate(of):
         scatter[k] = max(_scale(np.diff(x[i])) / np.sqrt(2), 1e-9)
-    scale = scatter[source] if n else np.zeros(0)
-    bias = np.zeros(n_sources)
+        peers = np.flatnonzero(possible & (kind != 2) & (source != k))
+        i = i[kind[i] != 2]
+        if len(i) and len(peers):
+            bias[k] = np.median(x[i] - x[peers[np.clip(np.searchsorted(t[peers], t[i]), 0, len(peers) - 1)]]) / 2
+    z, scale = x - bias[source], scatter[source]
     spike = np.zeros(n, bool)
-    for turn in range(ROUNDS):
-        z = x - (bias[source] if n else 0)
-        found = spike.copy()
-        clean = possible & ~spike & (kind != 2)
-        for k, i in enumerate(of):
-            if len(i) < 3:
-                continue
-            y = np.where(spike[i], np.nan, x[i])
-            level = _levels(y, t[i].astype(float))
+    open_ = [k for k, i in enumerate(of) if len(i) >= 3]
+    while open_:
+        found, again = spike.copy(), []
+        for k in open_:
+            i = of[k]
+            level = _levels(np.where(spike[i], np.nan, x[i]), t[i].astype(float))
             off = x[i, None] - level
-            fine = ~np.isnan(off).all(axis=1)
+            some = ~np.isnan(off).all(axis=1)
             near = np.zeros(len(i))
-            near[fine] = np.nanmin(np.abs(off[fine]), axis=1)
+            near[some] = np.nanmin(np.abs(off[some]), axis=1)
             # replaced points have no deviation of their own in the next round
             u = np.where(spike[i] | np.isnan(off[:, 2]), 0.0, off[:, 2])
-            own_scale = max(scatter[k], _scale(near))
-            candidate = (outside_ellipsoid(u) & (near > OWN_LIMIT * own_scale)) & ~spike[i] & (kind[i] != 2)
-            c = i[candidate]
-            peers = np.flatnonzero(clean & (source != k))
-            apart = _peer_distance(z, t, c, peers, scale)
-            new = c[apart > PEER_LIMIT * own_scale] if turn else c[near[candidate] > 2 * OWN_LIMIT * own_scale]
-            found[new] = True
-            score[c] = near[candidate] / own_scale
-        if turn == 0:  # the first round only clears the way for the sources' biases; its finds are judged again
-            for k, i in enumerate(of):
-                j = i[~found[i] & (kind[i] != 2)]
-                peers = np.flatnonzero(possible & ~found & (kind != 2) & (source != k))
-                if len(j) and len(peers):
-                    at = np.clip(np.searchsorted(t[peers], t[j]), 0, len(peers) - 1)
-                    bias[k] += np.median(x[j] - x[peers[at]]) / 2
-            continue
-        if (found == spike).all():
-            break
-        spike = found
+            live = ~spike[i] & (kind[i] != 2)
+            outside, r, reach = outside_ellipsoid(u, live)
+            c = np.flatnonzero(outside & live & _outermost(np.where(live, r, 0.0)))
+            own_scale = max(_scale(u[live]), 1e-9)
+            bar = np.maximum(OWN_SHARE * np.abs(u[c]), REACH_SHARE * reach * own_scale)
+            c, bar = c[near[c] >= bar], bar[near[c] >= bar]
+            peers = np.flatnonzero(possible & ~spike & (kind != 2) & (source != k))
+            new = c[_peer_distance(z, t, i[c], peers, scale) >= bar]
+            if len(new):
+                found[i[new]] = True
+                score[i[new]] = near[new] / own_scale
+                again.append(k)
+        spike, open_ = found, again
     kind[spike] = 1
     return kind, score
 
@@ -169,10 +188,10 @@ def flagged(
 
     series is what is measured (a symbol), source who measures it (an exchange). A spike leaves, for a
     few records, the range in which its source scatters about its current level, by phase-space
-    thresholding over value, first and second differences, round by round; a find must also be away
-    from the level of the series' other sources, as a move that they share is real. A stuck record
+    thresholding over value, first and second differences, round by round; moves that the series'
+    other sources share are real. A stuck record
     repeats the value before it in a run much longer than its source otherwise shows. A value that is
-    NaN, infinite or not positive is impossible. score is the deviation in scatters of the source.
+    NaN, infinite or not positive is impossible. score is a spike's deviation in scatters of the source.
 
     The records of a series are cut along time into blocks of about block_rows, found from counts per
     cell of cell_seconds, and each block also sees margin_rows on either side: a series with a large

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from rillstone.operators import spikes
 from rillstone.operators.spikes import faults, flagged, outside_ellipsoid, stuck_runs
 
 SCHEMA = "id bigint, s string, x string, t bigint, v double, block string, core int"
@@ -54,11 +55,35 @@ def test_defined_cases(spark):
     assert run(spark, same).count() == 39
 
 
+def test_the_ellipsoid_decides(monkeypatch):
+    """Without it, with one that holds all points, or with a smaller one, other records are found."""
+    data, _ = market(20_000, 3)
+    data.sort(key=lambda r: (r[3], r[0]))
+    t, v, x = np.array([r[3] for r in data]), np.array([r[4] for r in data]), np.array([int(r[2][1:]) for r in data])
+    found = faults(t, v, x)[0] == 1
+    whole = spikes.outside_ellipsoid
+    all_outside = lambda u, kept: (kept, *whole(u, kept)[1:])
+    none_outside = lambda u, kept: (np.zeros(len(u), bool), *whole(u, kept)[1:])
+    smaller = lambda u, kept: (whole(u, kept)[1] > 0.75 * whole(u, kept)[2], *whole(u, kept)[1:])
+    for other in (all_outside, none_outside, smaller):
+        monkeypatch.setattr(spikes, "outside_ellipsoid", other)
+        assert (found != (faults(t, v, x)[0] == 1)).sum() >= 3, other
+
+
+def test_turned_ellipsoid():
+    """A point that is ordinary in each value by itself, but against the way in which they go together."""
+    rng = np.random.default_rng(5)
+    u = rng.normal(0, 1, 5000)
+    u[1000:1005] = [3.2, -1, 3.4, -1, 3.2]
+    outside, r, reach = outside_ellipsoid(u, np.ones(5000, bool))
+    assert outside[1002] and (np.abs(u) < reach).all() and outside.sum() < 10
+
+
 def test_parts():
-    assert not outside_ellipsoid(np.zeros(50)).any()
+    assert not outside_ellipsoid(np.zeros(50), np.ones(50, bool))[0].any()
     u = np.random.default_rng(1).normal(0, 1, 500)
     u[100] = 40
-    assert outside_ellipsoid(u)[100]
+    assert outside_ellipsoid(u, np.ones(500, bool))[0][100]
     assert stuck_runs(np.array([1.0, 2, 2, 3, 4])).sum() == 0
     kind, _ = faults(np.zeros(0), np.zeros(0), np.zeros(0, int))
     assert len(kind) == 0
