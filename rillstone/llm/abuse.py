@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.gru import TRIGRAM_ROWS, WORD_ROWS, Network, Words, sigmoid
+from rillstone.llm.gru import TRIGRAM_ROWS, UNITS, WIDTH, WORD_ROWS, Network, Words, sigmoid
+from rillstone.store import shared_dir, written
 
 #: Words of a window, and words from one window to the next: a wording of up to 17 words stands whole in a window.
-WINDOW, STRIDE = 24, 8
-#: Bounds of the labelled sample: documents, and characters of each (longer ones are not used to learn).
-SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 10_000
+WINDOW, STRIDE = 40, 24
+#: Networks that are learned, each from its own random start; a window's score is the mean of their logits.
+NETS = 2
+#: Bound of the labelled sample, in documents; their texts are used whole.
+SAMPLE_DOCS = 6_000
 #: Rounds of learning, steps of a round and windows of a step; the number of steps doesn't depend on the
 #: data. One in so many clean documents is scored anew in a round.
 ROUNDS, STEPS, BATCH, FRESH = 24, 60, 256, 5
@@ -25,12 +30,14 @@ ROUNDS, STEPS, BATCH, FRESH = 24, 60, 256, 5
 SURE, UNNAMED = 0.85, 0.3
 #: With fewer documents that are sure to be abusive, all that are held to be so are learned from at once.
 FEW = 20
-#: Chance up to which a document counts as clean where the threshold is set: as a rule, two votes for it and none against.
-CLEAN = 0.01
 #: Words by which an abusive window is moved at random, and the share of plain words that are replaced.
-JITTER, REPLACED = 6, 0.3
+JITTER, REPLACED = 10, 0.3
+#: The threshold is set between these scores; so many times do clean documents count, as they are rarer among the judged than at large.
+LOWEST, HIGHEST, CLEAN_WEIGHT = 0.25, 0.6, 6.0
+#: Longer words are cut into overlapping pieces of so many letters.
+LONGEST, PIECE = 24, 16
 #: Words and pieces of text remembered by a worker, windows scored at once.
-REMEMBERED, AT_ONCE = 200_000, 1024
+REMEMBERED, AT_ONCE = 200_000, 4096
 
 #: Letters that look like Latin ones, and signs written for letters.
 LOOKALIKES = str.maketrans("аеорсухіѕјһԁԛԝмтнквαοενιτυρκ", "aeopcyxisjhdqwmthkbaoevitupk")
@@ -39,7 +46,7 @@ SIGNS = str.maketrans("013457@$€!|", "oieastaseii")
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-*_·][^\W\d_]){2,}(?![^\W_])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_OTHER_DIGIT, _DIGITS = re.compile("[2689]"), re.compile(r"\d+")
+_OTHER_DIGIT, _DIGITS, _NUMBERED = re.compile("[2689]"), re.compile(r"\d+"), re.compile(r"\D+\d{4,}")
 _SIGN = re.compile(r"[^\w\s,.'/\-]")
 _CHANGE = re.compile(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=\d)(?=\D)|(?<=[^\w\s])(?=\w)")
 _CAPITAL = re.compile("[A-Z][a-z]+")
@@ -62,9 +69,9 @@ def is_encoded(piece: str) -> bool:
 
 
 def spelled_out(w: str) -> str:
-    """A word with signs and digits for letters. It is taken for a number's name, such as r6286, if it has other digits or more digits than letters."""
+    """A word with signs and digits for letters. It is taken for a number's name, such as r6286 or build1047, if it has other digits, more than two digits to a letter, or four and more that all stand at its end."""
     digits = sum(map(str.isdigit, w))
-    if digits and (_OTHER_DIGIT.search(w) or digits > 3 or digits > len(w) - digits and len(w) > 4):
+    if digits and (_OTHER_DIGIT.search(w) or digits > 2 * (len(w) - digits) and len(w) > 4 or _NUMBERED.fullmatch(w)):
         return _DIGITS.sub("0", w)
     return w.translate(SIGNS)
 
@@ -74,6 +81,7 @@ def words_of(piece: str) -> list[str]:
 
     Parts of joined names count as words, as does each wide character (Chinese, Japanese, Korean).
     Letters spelled apart by signs are put together; signs and digits within a word are read as letters.
+    Of a word of more than 24 letters, overlapping pieces of 16 are taken.
     """
     if not piece.isascii():
         piece = unicodedata.normalize("NFKC", INVISIBLE.sub("", piece))
@@ -92,7 +100,7 @@ def words_of(piece: str) -> list[str]:
                     out.append("0")
                     continue
                 if not w.isalpha():
-                    if _HEX.fullmatch(w) or len(w) > 24:
+                    if _HEX.fullmatch(w):
                         out.append("0x")
                         continue
                     w = spelled_out(w)
@@ -106,7 +114,9 @@ def words_of(piece: str) -> list[str]:
                 if not w.isalpha():
                     w = spelled_out(w)
             w = re.sub(r"[^\w]|(.)\1\1+", lambda m: m[1] or "", w)
-            if w:
+            if len(w) > LONGEST:
+                out += [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)]
+            elif w:
                 out.append(w)
     return out
 
@@ -185,20 +195,56 @@ def reliable(votes: np.ndarray, cast: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The trained network and the threshold for its scores."""
+    """The trained networks and the threshold for their scores."""
 
-    def __init__(self, net: Network, threshold: float):
-        self.net, self.threshold = net, threshold
+    def __init__(self, nets: list[Network], threshold: float):
+        self.nets, self.threshold = nets, threshold
 
 
-def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7) -> Model:
+def kept_back(n: int) -> np.ndarray:
+    """The fifth of n documents that isn't learned from, the same for all networks; none of few."""
+    held = np.zeros(n, bool)
+    if n >= 500:
+        held[np.random.default_rng(7).permutation(n)[: n // 5]] = True
+    return held
+
+
+def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, nets: int = NETS) -> Model:
+    """Networks learned from judged documents, one after the other, and the threshold from those kept back."""
+    learned = [train_one(texts, votes, cast, seed) for seed in range(nets)]
+    return Model([net for net, _ in learned], threshold(votes, cast, [high for _, high in learned]))
+
+
+def threshold(votes: np.ndarray, cast: np.ndarray, highs: list[np.ndarray | None]) -> float:
+    """The threshold, from the highest window's logits of all documents by each network; beyond any score if nothing was learned.
+
+    Where the raters aren't agreed or few, the networks' own opinion counts along: a document whose only
+    rater overlooked an insult isn't a clean one.
+    """
+    if not highs or any(h is None for h in highs):
+        return 2.0
+    p = reliable(votes.astype(float), cast.astype(float))
+    held, high = kept_back(len(p)), np.mean(highs, axis=0)
+    if (p[held] > SURE).sum() < 5:
+        return 0.5
+    p, high = np.clip(p[held], 1e-6, 1 - 1e-6), high[held]
+    # a quarter of the windows that are learned from are abusive ones
+    q = np.where(p > SURE, p, sigmoid(np.log(p / (1 - p)) + high + np.log(3)))
+    order = np.argsort(-high)
+    tp, fp = np.cumsum(q[order]), np.cumsum((1 - q[order]) * np.where(q[order] < 0.5, CLEAN_WEIGHT, 1.0))
+    f1 = 2 * tp / (tp + fp + q.sum())
+    k = int(np.flatnonzero(f1 >= f1.max() - 0.01)[-1])  # the lowest score that is all but the best
+    return float(np.clip(sigmoid(high[order[k : k + 1]])[0], LOWEST, HIGHEST))
+
+
+def train_one(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int) -> tuple[Network, np.ndarray | None]:
     """Learn from judged documents, of which only the document is known to be abusive, not the place.
 
     Each round scores all windows of all documents; from a document that is held to be abusive the
     window with the highest score is learned as such, from the others the windows with the highest
     scores and some at random are learned as clean. Before the first round, windows are scored by how
-    much more often their words are in abusive documents. A fifth of the documents is kept back to set
-    the threshold.
+    much more often their words are in abusive documents. Returns the network and each document's highest
+    logit, which is None if there is nothing to learn from.
     """
     rng = np.random.default_rng(seed)
     net, lex = Network(seed), Lexicon()
@@ -207,10 +253,8 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7)
     ids, of = windows_of(streams)
     n = len(texts)
     if not n or not len(ids) or p.max() < 0.5:
-        return Model(net, 2.0)  # nothing to learn from: no document is held to be abusive
-    held = np.zeros(n, bool)
-    if n >= 500:
-        held[rng.permutation(n)[: n // 5]] = True
+        return net, None  # no document is held to be abusive
+    held = kept_back(n)
     # how much more often a word is in abusive documents
     seen = [np.unique(s) for s in streams]
     a, b = np.zeros(len(lex.rows)), np.zeros(len(lex.rows))
@@ -233,7 +277,7 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7)
     some = np.flatnonzero((ends > starts) & ~held)
     yes, no = some[p[some] >= 0.5], some[p[some] < 0.5]
     if not len(yes) or not len(no):
-        return Model(net, 2.0)
+        return net, None
     sure = p > SURE if (p[yes] > SURE).sum() >= FEW else p >= 0.5
     many = [np.arange(a, b) for a, b in zip(starts, ends, strict=True)]
     for turn in range(ROUNDS):
@@ -272,39 +316,31 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int = 7)
         score[w] = logits(net, net.projected(net.vectors(whole)), ids[w])
     high = np.full(n, -30.0)
     np.maximum.at(high, of, score)
-    clear = held & ((p > SURE) | (p < CLEAN))
-    return Model(net, _threshold(high[clear], p[clear]) if (p[clear] > 0.5).sum() >= 5 else 0.5)
-
-
-def _threshold(high: np.ndarray, p: np.ndarray, clean_weight: float = 6.0) -> float:
-    """The lowest score, from 0.3 to 0.9, whose F1 is all but the best (by 0.01).
-
-    Clean documents count more, as they are rarer among the judged than at large.
-    """
-    order = np.argsort(-high)
-    tp, fp = np.cumsum(p[order]), np.cumsum((1 - p[order]) * np.where(p[order] < 0.5, clean_weight, 1.0))
-    f1 = 2 * tp / (tp + fp + p.sum())
-    k = int(np.flatnonzero(f1 >= f1.max() - 0.01)[-1])
-    return float(np.clip(sigmoid(high[order[k : k + 1]])[0], 0.3, 0.9))
+    net.moments, net.squares = {}, {}
+    return net, high
 
 
 class Scorer:
     """A model in a worker, with the words it has met."""
 
-    def __init__(self, net: Network):
-        self.net, self.lex = net, Lexicon()
-        self.g = net.projected(net.vectors(self.lex.inputs()))
+    def __init__(self, nets: list[Network]):
+        self.nets, self.lex = nets, Lexicon()
+        self.g = self.projected(0)
+
+    def projected(self, start: int) -> list[np.ndarray]:
+        inputs = self.lex.inputs(start)
+        return [net.projected(net.vectors(inputs)) for net in self.nets]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The highest window's score of each text; 0 for a text without words."""
         if len(self.lex.rows) > REMEMBERED or len(self.lex.pieces) > 2 * REMEMBERED:
             self.lex = Lexicon()
-            self.g = self.net.projected(self.net.vectors(self.lex.inputs()))
+            self.g = self.projected(0)
         ids, of = windows_of([self.lex.stream(t) for t in texts])
-        if (had := len(self.g)) < len(self.lex.rows):
-            self.g = np.concatenate([self.g, self.net.projected(self.net.vectors(self.lex.inputs(had)))])
+        if (had := len(self.g[0])) < len(self.lex.rows):
+            self.g = [np.concatenate([g, more]) for g, more in zip(self.g, self.projected(had), strict=True)]
         high = np.full(len(texts), -np.inf)
-        np.maximum.at(high, of, logits(self.net, self.g, ids))
+        np.maximum.at(high, of, np.mean([logits(net, g, ids) for net, g in zip(self.nets, self.g, strict=True)], axis=0))
         return np.where(np.isneginf(high), 0.0, sigmoid(high))
 
 
@@ -313,44 +349,67 @@ _SCORERS: dict[int, Scorer] = {}
 CHARS = 2_000_000
 
 
-def scorer(net: Network) -> Scorer:
-    """The worker's scorer for this network; it keeps what it knows of words from task to task."""
-    mark = crc32(net.p["word"].tobytes())
+def scorer(nets: list[Network]) -> Scorer:
+    """The worker's scorer for these networks; it keeps what it knows of words from task to task."""
+    mark = crc32(b"".join(net.p["word"].tobytes() for net in nets))
     if mark not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[mark] = Scorer(net)
+        _SCORERS[mark] = Scorer(nets)
     return _SCORERS[mark]
 
 
-def fitted(documents: DataFrame, doc_id: Column, text: Column, ratings: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def fitted(documents: DataFrame, doc_id: Column, text: Column, ratings: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model learned from judged documents.
 
     ratings: doc_id, rater, abusive (1, 0 or NULL, which is no judgement). At most sample_docs judged
-    documents of at most sample_chars characters are used, chosen by a hash of their id; with fewer, all
-    are. Without judgements, or if no document is held to be abusive, the model finds nothing.
+    documents are used, whole, chosen by a hash of their id; with fewer, all are. Without judgements, or
+    if no document is held to be abusive, the model finds nothing.
+
+    The networks are learned side by side by tasks of the cluster, from the sample in the shared folder, and
+    kept there under a mark of sample and settings: the same sample is learned from once. Only the
+    networks come to the driver. This runs while the model is being asked for.
     """
+    spark = documents.sparkSession
     one = ratings.where("doc_id IS NOT NULL AND abusive IS NOT NULL").groupBy("doc_id", "rater").agg(F.max("abusive").alias("a"))
     told = one.groupBy("doc_id").agg(F.sum((F.col("a") > 0).cast("int")).alias("votes"), F.count(F.lit(1)).alias("cast"))
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    d = documents.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where(F.length("text").between(1, sample_chars))
-    rows = d.join(F.broadcast(chosen), "doc_id").collect()  # not more than sample_docs rows are broadcast
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    model = train([r["text"] for r in rows], np.array([r["votes"] for r in rows]), np.array([r["cast"] for r in rows]))
-    model.net.moments, model.net.squares = {}, {}
-    return model
+    d = documents.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where("text <> ''")
+    sample = written(d.join(F.broadcast(chosen), "doc_id"))  # not more than sample_docs rows are broadcast
+    seen = sample.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("doc_id", "text", "votes", "cast"), F.lit(1 << 40)))).first()
+    if not seen[0]:
+        return Model([Network(0)], 2.0)
+    settings = (tuple(seen), NETS, WINDOW, STRIDE, ROUNDS, STEPS, BATCH, FRESH, SURE, UNNAMED, FEW, JITTER, REPLACED, LONGEST, PIECE, WORD_ROWS, TRIGRAM_ROWS, WIDTH, UNITS)
+    path = f"{shared_dir(spark)}/rillstone/models/{crc32(repr(settings).encode()):08x}-{seen[0]}-{seen[1]}"
+
+    def learn(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["doc_id", "text"])
+        net, high = train_one(g["text"].tolist(), g["votes"].to_numpy(), g["cast"].to_numpy(), int(g["net"].iloc[0]))
+        return pd.DataFrame({"net": [int(g["net"].iloc[0])], "weights": [pickle.dumps(net.p)], "high": [None if high is None else high.tolist()], "votes": [g["votes"].tolist()], "cast": [g["cast"].tolist()]})
+
+    schema = "net int, weights binary, high array<double>, votes array<bigint>, cast array<bigint>"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        each = sample.select("*", F.explode(F.array(*[F.lit(k) for k in range(NETS)])).alias("net"))
+        each.repartitionByRange(NETS, "net").groupBy("net").applyInPandas(learn, schema).write.mode("overwrite").parquet(path)
+    rows = spark.read.schema(schema).parquet(path).orderBy("net").collect()  # as many as networks
+    nets = [Network(0) for _ in rows]
+    for net, r in zip(nets, rows, strict=True):
+        net.p, net.moments, net.squares = pickle.loads(r["weights"]), {}, {}
+    highs = [None if r["high"] is None else np.array(r["high"]) for r in rows]
+    return Model(nets, threshold(np.array(rows[0]["votes"]), np.array(rows[0]["cast"]), highs))
 
 
 def scored(documents: DataFrame, doc_id: Column, text: Column, source: Column, model: Model) -> DataFrame:
     """The score of every document: doc_id, source, score, abusive (score >= the model's threshold).
 
-    A document's score is that of its highest window of 24 words; windows overlap by 8 and cover the
+    A document's score is that of its highest window of 40 words; windows overlap by 16 and cover the
     whole text, author lines and diffs included. One row for each row of documents; a NULL or empty
     text, or one without words, has score 0. There is no shuffle. Other columns are ignored.
     """
-    net, threshold = model.net, model.threshold
+    nets, least = model.nets, model.threshold
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scorer(net)
+        s = scorer(nets)
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             out, at = [], 0
@@ -362,7 +421,7 @@ def scored(documents: DataFrame, doc_id: Column, text: Column, source: Column, m
                 out.append(s.scores(texts[at:end]))
                 at = end
             high = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(high, 6)), pa.array(high >= threshold)], names=["doc_id", "source", "score", "abusive"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(high, 6)), pa.array(high >= least)], names=["doc_id", "source", "score", "abusive"])
 
     rows = documents.select(doc_id.cast("bigint").alias("doc_id"), source.cast("string").alias("source"), text.cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id bigint, source string, score double, abusive boolean")

@@ -33,12 +33,12 @@ def model():
     data = corpus(700, 1)
     rng = random.Random(2)
     votes = np.array([sum(rng.random() < (0.92 if bad else 0.05) for _ in range(2)) for _, bad in data])
-    return abuse.train([t for t, _ in data], votes, np.full(len(data), 2))
+    return abuse.train([t for t, _ in data], votes, np.full(len(data), 2), nets=1)
 
 
 def test_held_out_accuracy(model):
     data = corpus(300, 9)
-    score = abuse.Scorer(model.net).scores([t for t, _ in data])
+    score = abuse.Scorer(model.nets).scores([t for t, _ in data])
     found, bad = score >= model.threshold, np.array([b for _, b in data])
     assert (found & bad).sum() >= 0.9 * bad.sum() and (found & bad).sum() >= 0.9 * found.sum()
 
@@ -68,7 +68,7 @@ def test_without_judgements(spark):
     ("text", "words"),
     [
         ("fire_that_moron(4)", ["fire", "that", "moron", "0"]), ("youAreAnIdiot", ["you", "are", "an", "idiot"]), ("i.d.i.o.t", ["idiot"]), ("m0r0n", ["moron"]), ("p@thetic", ["pathetic"]),
-        ("mоrоn", ["moron"]), ("mo​ron", ["moron"]), ("ImBéCiL", ["imbecil"]), ("白痴", ["白", "痴"]), ("MORON", ["moron"]), ("06fd9103", ["0x"]), ("sooooo", ["so"]), ("...", []), ("r6286", ["r0"]), ("h3ll", ["hell"]), ("n4k3d", ["naked"]), ("zcmV;mK`+;5@Fq9^Ha!oW", ["0x"]), ("идиот", ["идиот"]),
+        ("mоrоn", ["moron"]), ("mo​ron", ["moron"]), ("ImBéCiL", ["imbecil"]), ("白痴", ["白", "痴"]), ("MORON", ["moron"]), ("06fd9103", ["0x"]), ("sooooo", ["so"]), ("...", []), ("r6286", ["r0"]), ("h3ll", ["hell"]), ("n4k3d", ["naked"]), ("zcmV;mK`+;5@Fq9^Ha!oW", ["0x"]), ("идиот", ["идиот"]), ("w0r7hl355", ["worthless"]), ("build1047", ["build0"]), ("a55", ["ass"]),
     ],
 )
 def test_words(text, words):
@@ -77,14 +77,14 @@ def test_words(text, words):
 
 @pytest.mark.parametrize(
     ("text", "words"),
-    [("k*i*l*l*y*o*u*r*s*e*l*f", ["killyourself"]), ("w·o·r·t·h·l·e·s·s·m·o·r·o·n", ["worthlessmoron"]), ("y0u_4r3_4_p4th3t1c_m0r0n", ["you", "are", "0", "pathetic", "moron"]), ("a1K_b3Xq.7Zp-0Rt5mV4cN", ["0x"])],
+    [("k*i*l*l*y*o*u*r*s*e*l*f", ["killyourself"]), ("w·o·r·t·h·l·e·s·s·m·o·r·o·n", ["worthlessmoron"]), ("y0u_4r3_4_p4th3t1c_m0r0n", ["you", "are", "0", "pathetic", "moron"]), ("a1K_b3Xq.7Zp-0Rt5mV4cN", ["0x"]), ("g0killyourselfyouworthlessdog", ["gokillyourselfyo", "urselfyouworthle", "uworthlessdog"])],
 )
 def test_long_disguises_are_no_data(text, words):
     assert len(text) >= 20 and abuse.words_of(text) == words
 
 
 def test_windows_cover_all_words():
-    for n in (0, 1, 16, 23, 24, 25, 40, 41, 100):
+    for n in (0, 1, 24, 39, 40, 41, 63, 64, 65, 100, 200):
         ids, of = abuse.windows_of([np.arange(1, n + 1, dtype=np.int32), np.array([5], np.int32)])
         assert set(ids[of == 0].ravel()) - {0} == set(range(1, n + 1)) and (ids[of == 1, 0] == 5).all()
     assert len(abuse.windows_of([])[0]) == 0
@@ -96,6 +96,21 @@ def test_wordings_stand_whole_in_a_window():
     assert all(any(set(range(a, a + 17)) <= w for w in inside) for a in range(1, 85))
 
 
+def test_long_judged_documents_and_one_fit(spark, monkeypatch, model):
+    """Judged documents are learned from whole, however long, and once for each sample."""
+    learned = []
+    monkeypatch.setattr(abuse, "ROUNDS", 2)
+    monkeypatch.setattr(abuse, "STEPS", 3)
+    long = " ".join(CLEAN * 2000)
+    docs = spark.createDataFrame([(i, f"{long} you are a worthless moron" if i % 4 == 0 else f"{i} {' '.join(CLEAN)}") for i in range(40)] + [(100, None), (101, "")], "doc_id bigint, text string")
+    votes = spark.createDataFrame([(i, r, int(i % 4 == 0)) for i in [*range(40), 100, 101] for r in "ab"], "doc_id bigint, rater string, abusive int")
+    first = abuse.fitted(docs, F.col("doc_id"), F.col("text"), votes)
+    assert len(first.nets) == abuse.NETS and first.threshold <= 1
+    monkeypatch.setattr(abuse, "train_one", lambda *a: learned.append(a))
+    again = abuse.fitted(docs, F.col("doc_id"), F.col("text"), votes)
+    assert not learned and all((a.p[k] == b.p[k]).all() for a, b in zip(first.nets, again.nets, strict=True) for k in a.p)
+
+
 def test_reliable_weighs_votes():
     p = abuse.reliable(np.array([0.0] * 80 + [1.0] * 5 + [3.0] * 15), np.array([3.0] * 100))
     assert p[0] < 0.05 and p[82] < 0.5 and p[-1] > 0.95
