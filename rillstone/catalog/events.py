@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillstone.cleaning import WHITE_SPACE, folded, folded_symbol, seconds
@@ -159,6 +159,31 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_faults(spark, sf_dir).select("event_id")
 
 
+def p6_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The impossible readings among the faults."""
+    return p6_faults(spark, sf_dir).where("kind = 'impossible'").select("event_id")
+
+
+def p6_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source that has possible prices: whether every record held to be stuck repeats the price before it, within a run of six or more."""
+    e = table(spark, sf_dir, "price_events").select(
+        "event_id", folded_symbol(F.col("symbol")).alias("symbol"), folded(F.col("exchange")).alias("exchange"), "timestamp", F.when((F.col("price") > 0) & (F.col("price") < float("inf")), F.col("price")).alias("price")
+    )
+    e = e.where("symbol IS NOT NULL AND exchange IS NOT NULL AND timestamp IS NOT NULL AND price IS NOT NULL").dropDuplicates(["event_id"])
+    by = Window.partitionBy("symbol", "exchange").orderBy("timestamp", "event_id")
+    runs = e.withColumn("again", F.coalesce((F.col("price") == F.lag("price").over(by)).cast("int"), F.lit(0)))
+    runs = runs.withColumn("run", F.sum(1 - F.col("again")).over(by))
+    sizes = runs.groupBy("symbol", "exchange", "run").agg(F.count(F.lit(1)).alias("size"))
+    stuck = p6_faults(spark, sf_dir).where("kind = 'stuck'").select("event_id", F.lit(True).alias("stuck"))
+    told = runs.join(sizes, ["symbol", "exchange", "run"]).join(stuck, "event_id", "left")
+    return told.groupBy("symbol", "exchange").agg(F.bool_and(F.col("stuck").isNull() | (F.col("again") == 1) & (F.col("size") >= 6)).alias("repeats"))
+
+
+_P6_CLEAN = f"""SELECT DISTINCT event_id, timestamp, {_fold('exchange')} AS exchange, price,
+  nullif(regexp_replace(lower(trim(symbol, {_WS})), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '') AS symbol FROM price_events"""
+P6_IMPOSSIBLE_SQL = f"""SELECT event_id FROM ({_P6_CLEAN}) WHERE symbol IS NOT NULL AND exchange IS NOT NULL AND timestamp IS NOT NULL AND price IS NOT NULL AND (NOT isfinite(price) OR price <= 0)"""
+P6_STUCK_SQL = f"""SELECT DISTINCT symbol, exchange, true AS repeats FROM ({_P6_CLEAN}) WHERE symbol IS NOT NULL AND exchange IS NOT NULL AND timestamp IS NOT NULL AND isfinite(price) AND price > 0"""
+
 QUERIES = {
     "p1_rolling_totals": p1_rolling_totals,
     "p1_found": p1_found,
@@ -169,6 +194,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_faults": p6_faults,
     "p6_found": p6_found,
+    "p6_impossible": p6_impossible,
+    "p6_stuck": p6_stuck,
 }
 SQL = {
     "p1_rolling_totals": P1_ROLLING_SQL,
@@ -177,5 +204,7 @@ SQL = {
     "p3_found": P3_FOUND_SQL,
     "p5_windows": P5_WINDOWS_SQL,
     "p5_emissions": P5_EMISSIONS_SQL,
+    "p6_impossible": P6_IMPOSSIBLE_SQL,
+    "p6_stuck": P6_STUCK_SQL,
     "p5_found": P5_FOUND_SQL,
 }

@@ -277,27 +277,17 @@ def window_custom(spark, d):
 
 
 # joins
-def _all_orders(spark, d):
+def _orders(spark, d):
     o = table(spark, d, "orders")
     return EventStream(o.select("o_orderkey", F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.lit(None).cast("timestamp").alias("ts")), tie="o_orderkey")
 
 
-def _all_customers(spark, d):
+def _customers(spark, d):
     c = table(spark, d, "customer")
     return EventStream(c.select("c_custkey", F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"), F.lit(None).cast("timestamp").alias("ts")), tie="c_custkey")
 
 
-def _orders(spark, d):
-    """The part of the orders that the SQL of the queries without _whole names; so too for _customers."""
-    return _all_orders(spark, d).filter("key % 3 <> 0 AND o_orderkey % 5 = 0")
-
-
-def _customers(spark, d):
-    return _all_customers(spark, d).filter("key % 2 = 0")
-
-
-_O = "(SELECT o_custkey AS key, o_totalprice AS value FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 5 = 0)"
-_C = "(SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0)"
+_O, _C = "(SELECT o_custkey AS key, o_totalprice AS value FROM orders)", "(SELECT c_custkey AS key, c_acctbal AS value FROM customer)"
 
 
 def _join(how: str, kind: str) -> None:
@@ -334,80 +324,24 @@ def join_combine(spark, d):
     return _orders(spark, d).join(_customers(spark, d)).combine(lambda a, b: a - b).select("key", "value")
 
 
-# the same over the whole tables
-_ALL_O, _ALL_C = "(SELECT o_custkey AS key, o_totalprice AS value FROM orders)", "(SELECT c_custkey AS key, c_acctbal AS value FROM customer)"
-
-
-def _join_whole(how: str, kind: str) -> None:
-    def f(spark, d):
-        return _all_orders(spark, d).join(_all_customers(spark, d), how).df.select("key", "left_value", "right_value")
-
-    f.__name__ = f"join_{how}_whole"
-    query(f"SELECT coalesce(o.key, c.key) AS key, o.value AS left_value, c.value AS right_value FROM {_ALL_O} o {kind} JOIN {_ALL_C} c ON o.key = c.key")(f)
-
-
-for _how, _kind in (("inner", ""), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
-    _join_whole(_how, _kind)
-
-_ALL_PAIRS = f"{_ALL_O} o FULL JOIN {_ALL_C} c ON o.key = c.key"
-
-
-@query(f"SELECT coalesce(o.key, c.key) AS key, round(coalesce(o.value::DOUBLE, 0) + coalesce(c.value::DOUBLE, 0), 4) AS value FROM {_ALL_PAIRS}")
-def join_sum_values_whole(spark, d):
-    return _all_orders(spark, d).join(_all_customers(spark, d), "outer").sum_values().select("key", r4("value"))
-
-
-@query(f"SELECT coalesce(o.key, c.key) AS key, coalesce(o.value, c.value) AS value FROM {_ALL_PAIRS}")
-def join_coalesce_left_whole(spark, d):
-    return _all_orders(spark, d).join(_all_customers(spark, d), "outer").coalesce_left().select("key", "value")
-
-
-@query(f"SELECT coalesce(o.key, c.key) AS key, coalesce(c.value, o.value) AS value FROM {_ALL_PAIRS}")
-def join_coalesce_right_whole(spark, d):
-    return _all_orders(spark, d).join(_all_customers(spark, d), "outer").coalesce_right().select("key", "value")
-
-
-@query(f"SELECT o.key AS key, o.value - c.value AS value FROM {_ALL_O} o JOIN {_ALL_C} c ON o.key = c.key")
-def join_combine_whole(spark, d):
-    return _all_orders(spark, d).join(_all_customers(spark, d)).combine(lambda a, b: a - b).select("key", "value")
-
-
 def _users(spark, d, kind: str) -> EventStream:
     e = events(spark, d, "user_id").filter(F.col("event_type") == kind)
     return EventStream(e.df.select("user_id", F.col("event_id").alias("value"), "ts", "event_id"), "user_id", "value", "ts", "event_id")
 
 
-@query(
-    """SELECT coalesce(a.user_id, b.user_id) AS key, '(' || coalesce(a.event_id::VARCHAR, 'null') || ', ' || coalesce(b.event_id::VARCHAR, 'null') || ')' AS value
-    FROM (SELECT * FROM events WHERE event_type = 'signup' AND user_id % 4 = 0) a FULL JOIN (SELECT * FROM events WHERE event_type = 'error' AND user_id % 6 = 0) b ON a.user_id = b.user_id"""
-)
-def join_as_tuples(spark, d):
-    a, b = _users(spark, d, "signup").filter("user_id % 4 = 0"), _users(spark, d, "error").filter("user_id % 6 = 0")
-    return a.join(b, "outer").as_tuples().select("key", "value")
-
-
 @query(
     """SELECT coalesce(a.user_id, b.user_id) AS key, '(' || coalesce(a.event_id::VARCHAR, 'null') || ', ' || coalesce(b.event_id::VARCHAR, 'null') || ')' AS value
     FROM (SELECT * FROM events WHERE event_type = 'signup') a FULL JOIN (SELECT * FROM events WHERE event_type = 'error') b ON a.user_id = b.user_id"""
 )
-def join_as_tuples_whole(spark, d):
+def join_as_tuples(spark, d):
     return _users(spark, d, "signup").join(_users(spark, d, "error"), "outer").as_tuples().select("key", "value")
 
 
-@query(
-    """SELECT a.event_id AS left_value, b.event_id AS right_value FROM (SELECT event_id, nullif(user_id % 50, 0) AS k FROM events WHERE event_id % 100 = 0) a
-    JOIN (SELECT event_id, nullif(user_id % 50, 0) AS k FROM events WHERE event_id % 101 = 0) b ON a.k IS NOT DISTINCT FROM b.k"""
-)
-def join_null_safe(spark, d):
-    e = events(spark, d).key_by("nullif(user_id % 50, 0)").map("event_id")
-    return e.filter("event_id % 100 = 0").join(e.filter("event_id % 101 = 0"), null_safe=True).df.select("left_value", "right_value")
-
-
 _K = "CASE WHEN event_type <> 'view' THEN nullif(user_id % 50, 0) END"
 
 
 @query(f"SELECT a.event_id AS left_value, b.n AS right_value FROM (SELECT event_id, {_K} AS k FROM events) a JOIN (SELECT {_K} AS k, count(*) AS n FROM events GROUP BY ALL) b ON a.k IS NOT DISTINCT FROM b.k")
-def join_null_safe_whole(spark, d):
+def join_null_safe(spark, d):
     """Each event with the number of events of its key; a fifth and more of all have none. Their pairs would be of quadratic size."""
     e = events(spark, d).key_by(_K).map("event_id")
     n = e.group_by("key").agg(value=aggregate("count")).withColumn("ts", F.lit(None).cast("timestamp"))
@@ -586,7 +520,7 @@ def scalar_substring_edges(spark, d):
 @query("SELECT event_id, value / nullif(user_id % 3, 0) AS q, (event_id // nullif(user_id % 3, 0))::BIGINT AS w, event_id + user_id AS s, event_id * 2 - user_id AS m FROM events")
 def arith_null_div0(spark, d):
     e, u = F.col("event_id"), F.col("user_id")
-    return events(spark, d).df.select("event_id", scalar.divide(F.col("value"), u % 3).alias("q"), scalar.divide_whole(e, u % 3).alias("w"), (e + u).alias("s"), (e * 2 - u).alias("m"))
+    return events(spark, d).df.select("event_id", scalar.divide(F.col("value"), u % 3).alias("q"), scalar.divide(e, u % 3).alias("w"), (e + u).alias("s"), (e * 2 - u).alias("m"))
 
 
 @query("SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k FROM events")
@@ -601,15 +535,19 @@ def dedup_txn(spark, d):
     return EventStream(s, "key", "value", "ts", "arrival_seq").distinct_by("transaction_id").df.select("transaction_id", "event_id")
 
 
-@query("SELECT count(*) AS n, 8::BIGINT AS most FROM events")
+@query("SELECT count(*) AS n, true AS at_most_eight, true AS keys_together, true AS spread FROM events")
 def hash_partition_counts(spark, d):
-    e = events(spark, d, "user_id").df.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(8)).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    return e.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("most"))
+    """Every key's events in one of eight partitions, and keys in more than one."""
+    e = events(spark, d, "user_id").partitioned(8).df.withColumn("at", F.spark_partition_id())
+    keys = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("at").alias("places"), F.max("at").alias("at"))
+    return keys.agg(F.sum("n").alias("n"), (F.count_distinct("at") <= 8).alias("at_most_eight"), (F.max("places") == 1).alias("keys_together"), (F.count_distinct("at") > 1).alias("spread"))
 
 
-@query("SELECT count(*) AS n FROM events")
+@query("SELECT count(*) AS n, 8::BIGINT AS partitions, true AS even FROM events")
 def round_robin_partitions(spark, d):
-    return events(spark, d).partitioned(8, "").agg(n=aggregate("count"))
+    """In turn: eight partitions, none of which has a tenth more than another, but for some rows for each part that is read."""
+    each = events(spark, d).partitioned(8, "").df.groupBy(F.spark_partition_id().alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("partitions"), (F.max("n") <= F.min("n") * 1.1 + 64).alias("even"))
 
 
 # the dialect
@@ -625,11 +563,22 @@ DIALECT = {
     "sql_session": ("SELECT user_id, COUNT(*) FROM events WHERE value > 1 GROUP BY user_id WINDOW SESSION 30 MINUTES", SQL["session_by_user"].replace("FROM events WINDOW", "FROM events WHERE value > 1 WINDOW")),
     "sql_count_window": ("SELECT user_id, COUNT(*) AS n FROM events GROUP BY user_id WINDOW TUMBLING 5", f"""WITH n AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) // 5 AS nth FROM events)
         SELECT user_id, count(*) AS n, min({MS}) AS window_start, max({MS}) AS window_end FROM n GROUP BY user_id, nth"""),
-    "sql_global": ("SELECT COUNT(*), AVG(value), MEDIAN(value) AS middle FROM events", "SELECT count(*) AS count, avg(value) AS avg, median(value) AS middle FROM events"),
+    "sql_global": ("SELECT COUNT(*), round(AVG(value), 4) AS avg, MEDIAN(value) AS middle FROM events", "SELECT count(*) AS count, round(avg(value), 4) AS avg, median(value) AS middle FROM events"),
+    "sql_scalar_div0": ("SELECT event_id, value / (user_id % 3) AS q, event_id % (user_id % 3) AS m, 9223372036854775807 + event_id + 1 AS s FROM events WHERE value / (user_id % 3) > 10 OR user_id % 3 = 0",
+        "SELECT event_id, value / nullif(user_id % 3, 0) AS q, event_id % nullif(user_id % 3, 0) AS m, NULL::BIGINT AS s FROM events WHERE value / nullif(user_id % 3, 0) > 10 OR user_id % 3 = 0"),
+    "sql_scalar_substring": ("SELECT event_id, SUBSTRING(event_type, -5, 2) AS below, SUBSTR(event_type, 3) AS rest, SUBSTRING(event_type, 2, 0) AS none, SUBSTRING(event_type, 90, 2) AS beyond FROM events",
+        "SELECT event_id, substring(event_type, 1, 2) AS below, substring(event_type, 3) AS rest, substring(event_type, 2) AS none, substring(event_type, 90, 2) AS beyond FROM events"),
+    "sql_scalar_trim": ("SELECT event_id, TRIM('\t ' || event_type || '\u00a0\n') AS trimmed, LENGTH(event_type) AS len FROM events", "SELECT event_id, event_type AS trimmed, length(event_type)::INTEGER AS len FROM events"),
+    "sql_scalar_round": ("SELECT event_id, ROUND(value - 50) AS r, FLOOR(value) AS f, CEIL(value) AS c FROM events", "SELECT event_id, round(value - 50)::BIGINT AS r, floor(value)::BIGINT AS f, ceil(value)::BIGINT AS c FROM events"),
+    "sql_distinct": ("SELECT DISTINCT user_id, event_type FROM events", "SELECT DISTINCT user_id, event_type FROM events"),
+    "sql_union": ("SELECT user_id, event_type FROM events WHERE value > 50 UNION SELECT user_id, upper(event_type) AS event_type FROM events WHERE value < 20", "SELECT user_id, event_type FROM events WHERE value > 50 UNION SELECT user_id, upper(event_type) FROM events WHERE value < 20"),
+    "sql_union_all": ("SELECT event_id FROM events WHERE value > 50 UNION ALL SELECT event_id FROM events WHERE value > 90 ORDER BY event_id DESC LIMIT 50", "SELECT event_id FROM events WHERE value > 50 UNION ALL SELECT event_id FROM events WHERE value > 90 ORDER BY event_id DESC LIMIT 50"),
+    "sql_intersect": ("SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase'", "SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase'"),
+    "sql_except": ("SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE value > 200", "SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE value > 200"),
+    "sql_nulls_last": ("SELECT event_id, CASE WHEN value > 5 THEN value END AS v FROM events ORDER BY v DESC NULLS FIRST, 1 LIMIT 40", "SELECT event_id, CASE WHEN value > 5 THEN value END AS v FROM events ORDER BY v DESC NULLS FIRST, 1 LIMIT 40"),
+    "sql_count_distinct": ("SELECT event_type, COUNT(DISTINCT user_id) AS users FROM events GROUP BY event_type", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"),
+    "sql_rollup": ("SELECT event_type, user_id % 3 AS part, COUNT(*) AS n FROM events GROUP BY ROLLUP(event_type, user_id % 3)", "SELECT event_type, user_id % 3 AS part, count(*) AS n FROM events GROUP BY ROLLUP(event_type, user_id % 3)"),
 }
 for _name, (_text, _sql) in DIALECT.items():
     QUERIES[_name] = sql_on_events(_text)
     SQL[_name] = _sql
-for _name in ("sql_global",):
-    QUERIES[_name] = lambda spark, d: sql_on_events("SELECT COUNT(*), round(AVG(value), 4) AS avg, MEDIAN(value) AS middle FROM events")(spark, d)
-    SQL[_name] = "SELECT count(*) AS count, round(avg(value), 4) AS avg, median(value) AS middle FROM events"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.plans import dialect
 from rillstone.sinks import files as file_sink
-from rillstone.sinks.metrics import PREFIXES, Metrics
+from rillstone.sinks.metrics import PREFIXES, Metrics, serve
 from rillstone.sources import http
 from rillstone.sources.files import read_file
 from rillstone.streaming.run import supervised
@@ -27,7 +27,7 @@ class JobError(ValueError):
 
 @dataclass
 class Job:
-    """name; source {type: file | http, ...}; operators [{type: filter | map, expr}]; sql over the stream named by `stream`; sink {type: file | metrics, ...}."""
+    """name; source {type: file | http, ...}; operators [{type: filter | map, expr}]; sql over the stream named by `stream`; sink {type: file | metrics (port: to serve them), ...}."""
 
     name: str
     source: dict
@@ -62,7 +62,7 @@ class Job:
         out += ["an operator needs expr" for o in self.operators if not o.get("expr")]
         if self.sql:
             try:
-                dialect.parse(self.sql)
+                dialect.parts(self.sql)
             except dialect.DialectError as e:
                 out.append(f"sql: {e}")
         if self.unbounded and self.sink.get("type") == "file" and not self.checkpoint:
@@ -127,14 +127,26 @@ class Job:
             df = df.withWatermark("ts", self.watermark)
         return dialect.run(spark, self.sql, **{self.stream: df}) if self.sql else df
 
-    def run(self, spark: SparkSession, metrics: Metrics | None = None, restarts: int = 0, delay: float = 5.0) -> Metrics | None:
-        """Run to the end (bounded sources), or until the query ends or is stopped; failures restart it from its checkpoint."""
+    def run(self, spark: SparkSession, metrics: Metrics | None = None, restarts: int = 0, delay: float = 5.0, stopped: Callable[[], bool] | None = None) -> Metrics | None:
+        """Run to the end (bounded sources), or until the query ends or `stopped` says so; failures restart it from its checkpoint.
+
+        A metrics sink with a port serves /metrics and /health on the driver while the job runs.
+        """
         self.checked()
         spark.conf.set("spark.sql.shuffle.partitions", self.parallelism)
         df = self.plan(spark)
         if self.sink["type"] == "metrics":
             name = self.sink.get("preset")
             metrics = metrics or Metrics(self.sink.get("prefix") or PREFIXES.get(name, name or "rillstone"))
+        server = serve(metrics, self.sink["port"]) if metrics is not None and "port" in self.sink else None
+        try:
+            return self._run(spark, df, metrics, restarts, delay, stopped)
+        finally:
+            if server is not None:
+                server.shutdown()
+                server.server_close()
+
+    def _run(self, spark: SparkSession, df: DataFrame, metrics: Metrics | None, restarts: int, delay: float, stopped: Callable[[], bool] | None) -> Metrics | None:
         if not df.isStreaming:
             if self.sink["type"] == "metrics":
                 metrics.update(df)
@@ -149,7 +161,7 @@ class Job:
             w = w.option("checkpointLocation", self.checkpoint) if self.checkpoint else w
             return (w.trigger(processingTime=self.sink["every"]) if self.sink.get("every") else w.trigger(availableNow=True)).start()
 
-        supervised(begin, restarts, delay)
+        supervised(begin, restarts, delay, stopped)
         return metrics
 
 
@@ -196,12 +208,13 @@ class Registry:
         job = Job.from_dict(self.get(at)["job"])
         self.move(at, "running")
         try:
-            (work or (lambda j: j.run(spark, restarts=restarts)))(job)
+            (work or (lambda j: j.run(spark, restarts=restarts, stopped=lambda: self.get(at)["state"] == "stopped")))(job)
         except Exception as e:
             return self.move(at, "failed", error=str(e)[:2000])
         return self.get(at) if self.get(at)["state"] == "stopped" else self.move(at, "completed")
 
     def stop(self, at: str) -> dict:
+        """Mark a job as stopped; the process that runs it looks for that every second and ends the query."""
         if self.get(at)["state"] not in ("queued", "running"):
             raise JobError(f"job {at} isn't running")
         return self.move(at, "stopped")

@@ -35,11 +35,11 @@ def joined(
         bound = F.expr(f"right_ts BETWEEN left_ts - INTERVAL {within_ms} MILLISECONDS AND left_ts + INTERVAL {within_ms} MILLISECONDS")
         pairs = l.join(r, same & bound, HOW[how])
     else:
-        pairs = _bounded(l, r, same, HOW[how], within_ms, unmatched)
+        pairs = _bounded(l, r, same, HOW[how], within_ms, unmatched, null_safe)
     return pairs.select(F.coalesce("l_key", "r_key").alias("key"), "left_value", "right_value", "left_ts", "right_ts", F.greatest("left_ts", "right_ts").alias("ts"))
 
 
-def _bounded(l: DataFrame, r: DataFrame, same: Column, how: str, within_ms: int, unmatched: str) -> DataFrame:  # noqa: E741
+def _bounded(l: DataFrame, r: DataFrame, same: Column, how: str, within_ms: int, unmatched: str, null_safe: bool) -> DataFrame:  # noqa: E741
     wide = max(1, within_ms) * 1000
     lb = l.withColumn("l_bucket", F.floor(F.unix_micros("left_ts") / F.lit(wide)))
     rb = r.withColumn("r_bucket", F.floor(F.unix_micros("right_ts") / F.lit(wide)))
@@ -47,21 +47,21 @@ def _bounded(l: DataFrame, r: DataFrame, same: Column, how: str, within_ms: int,
     if how in ("inner", "left"):  # three copies of one side, so that each pair meets exactly once
         many = rb.withColumn("m_bucket", F.explode(F.expr("array(r_bucket - 1, r_bucket, r_bucket + 1)"))).drop("r_bucket")
         out = lb.join(many, same & (F.col("l_bucket") == F.col("m_bucket")) & near, how).drop("l_bucket", "m_bucket")
-        return out if unmatched == "row" or how == "inner" else _without(out, "left_ts", "l_key", "right_ts", r.select("r_key").distinct(), same)
+        return out if unmatched == "row" or how == "inner" else _without(out, "left_ts", "l_key", "right_ts", r.select("r_key").distinct(), null_safe)
     if how == "right":
         many = lb.withColumn("m_bucket", F.explode(F.expr("array(l_bucket - 1, l_bucket, l_bucket + 1)"))).drop("l_bucket")
         out = many.join(rb, same & (F.col("m_bucket") == F.col("r_bucket")) & near, "right").drop("m_bucket", "r_bucket")
-        return out if unmatched == "row" else _without(out, "right_ts", "r_key", "left_ts", l.select("l_key").distinct(), same)
-    left_part = _bounded(l, r, same, "left", within_ms, unmatched)
-    right_part = _bounded(l, r, same, "right", within_ms, unmatched).where("left_ts IS NULL")
+        return out if unmatched == "row" else _without(out, "right_ts", "r_key", "left_ts", l.select("l_key").distinct(), null_safe)
+    left_part = _bounded(l, r, same, "left", within_ms, unmatched, null_safe)
+    right_part = _bounded(l, r, same, "right", within_ms, unmatched, null_safe).where("left_ts IS NULL")
     return left_part.unionByName(right_part)
 
 
-def _without(out: DataFrame, ts: str, key: str, other_ts: str, keys: DataFrame, same: Column) -> DataFrame:
+def _without(out: DataFrame, ts: str, key: str, other_ts: str, keys: DataFrame, null_safe: bool) -> DataFrame:
     """out without the rows that have no partner although their key is on the other side."""
     other = keys.columns[0]
     there = keys.withColumnRenamed(other, "__there")
-    met = out.join(there, F.col(key).eqNullSafe(F.col("__there")) if "<=>" in str(same) else F.col(key) == F.col("__there"), "left")
+    met = out.join(there, F.col(key).eqNullSafe(F.col("__there")) if null_safe else F.col(key) == F.col("__there"), "left")
     return met.where(F.col(other_ts).isNotNull() | F.col("__there").isNull()).drop("__there")
 
 

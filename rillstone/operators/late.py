@@ -14,15 +14,6 @@ MAX_OUT_OF_ORDERNESS = 1000
 FARTHEST = 1 << 60
 
 
-def _gcd(a: Column, b: Column) -> Column:
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.lit(92)),  # Euclid needs no more steps for 64-bit numbers
-        F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")),
-        lambda s, _: F.when(s["b"] > 0, F.struct(s["b"].alias("a"), F.pmod(s["a"], F.when(s["b"] > 0, s["b"]).otherwise(F.lit(1))).alias("b"))).otherwise(s),
-    )
-    return steps["a"]
-
-
 def with_watermark(df: DataFrame, seq_block_bits: int = 16) -> DataFrame:
     """df(key, seq, ms, ...) with `seen`: the largest ms of the key's records that arrived before.
 
@@ -54,7 +45,6 @@ def classified(events: DataFrame, configs: DataFrame, seq_block_bits: int = 16)
         F.coalesce(F.col("allowed_lateness"), F.lit(ALLOWED_LATENESS)).cast("bigint").alias("lateness"),
         F.coalesce(F.col("max_out_of_orderness"), F.lit(MAX_OUT_OF_ORDERNESS)).cast("bigint").alias("disorder"),
     ).where("c_key IS NOT NULL AND window_ms > 0 AND slide_ms > 0")
-    c = c.withColumn("pane_ms", _gcd(F.col("window_ms"), F.col("slide_ms")))
     rows = events.select("event_id", F.col("arrival_seq").cast("bigint").alias("seq"), "key", F.col("ms").cast("bigint").alias("ms"), F.col("value").cast("bigint").alias("value"))
     rows = one_per_id(rows.where((F.col("key").isNotNull()) & F.col("ms").between(-FARTHEST, FARTHEST) & F.col("seq").isNotNull()), "event_id", ["seq"])
     seen = with_watermark(rows, seq_block_bits)
@@ -62,10 +52,12 @@ def classified(events: DataFrame, configs: DataFrame, seq_block_bits: int = 16)
     ms, wide, step = F.col("ms"), F.col("window_ms"), F.col("slide_ms")
     # windows start at multiples of slide; the first that can hold ms starts after ms - window
     low = ms - wide + 1
+    # panes lie between the starts and ends of windows: at most two to a slide
+    into, cut = F.pmod(ms, step), F.pmod(wide, step)
     return joined.select(
         "event_id", "seq", "key", "ms", "value", "window_ms", "slide_ms", "lateness",
         (F.col("seen") - F.col("disorder")).alias("watermark"),
-        (ms - F.pmod(ms, F.col("pane_ms"))).alias("pane"),
+        (ms - into + F.when(into >= cut, cut).otherwise(0)).alias("pane"),
         (low + F.pmod(-low, step)).alias("first_start"),
         (ms - F.pmod(ms, step)).alias("last_start"),
     )
@@ -126,7 +118,26 @@ def window_emissions(records: DataFrame) -> DataFrame:
 
 
 def windows(records: DataFrame) -> DataFrame:
-    """The last emission of each window."""
-    every = window_emissions(records)
-    last = Window.partitionBy("key", "window_start", "window_end")
-    return every.withColumn("__last", F.max("revision").over(last)).where("revision = __last").drop("__last").withColumnRenamed("revision", "corrections")
+    """The last emission of each window; `corrections` is the number of times that it was corrected.
+
+    Every record goes once to its pane or, if late, to the windows over it; both are summed up where they
+    lie, and panes then go into their windows.
+    """
+    mark, end = F.col("watermark"), lambda start: start + F.col("window_ms")
+    late = F.coalesce(mark >= end(F.col("first_start")), F.lit(False))
+
+    def told(start: Column) -> Column:
+        outcome = F.when(mark > end(start) + F.col("lateness"), 2).when(mark >= end(start), 1).otherwise(0)
+        return F.struct(start.alias("start"), outcome.alias("outcome"))
+
+    to = F.when(late, F.transform(_covering(), told)).otherwise(F.array(F.struct(F.col("pane").alias("start"), F.lit(0).alias("outcome"))))
+    each = records.select("key", "value", "window_ms", "slide_ms", late.alias("late"), *[F.when(~late, F.col(c)).alias(c) for c in ("first_start", "last_start")], F.explode(to).alias("at"))
+    lost = F.col("at.outcome") == 2
+    sums = each.groupBy("key", "window_ms", "slide_ms", "late", "first_start", "last_start", F.col("at.start").alias("start")).agg(
+        F.count_if(~lost).alias("n"), F.count(F.when(~lost, F.col("value"))).alias("n_values"), F.sum(F.when(~lost, F.col("value"))).alias("total"),
+        F.count_if(F.col("at.outcome") == 1).alias("corrections"), F.count_if(lost).alias("dropped"),
+    )
+    start = F.explode(F.when(F.col("late"), F.array("start")).otherwise(_covering())).alias("window_start")
+    whole = sums.select("key", start, "window_ms", "n", "n_values", "total", "corrections", "dropped").groupBy("key", "window_start", (F.col("window_start") + F.col("window_ms")).alias("window_end"))
+    out = whole.agg(*[F.sum(c).alias(c) for c in ("corrections", "n", "n_values", "total", "dropped")]).where("n > 0")
+    return out.withColumn("average", F.when(F.col("n_values") > 0, F.col("total") / F.col("n_values")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which all executors reach.
 
-    Only where the session has none (tests, a single machine) a temporary folder is made, once a session.
+    Only a session on one machine may go without (tests): a temporary folder is then made, and removed at the
+    end. On a cluster it is an error, as executors would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("rillstone.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         found = tempfile.mkdtemp(prefix="rillstone-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("rillstone.shared.dir", found)
     return found
 

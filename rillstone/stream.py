@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from rillstone.operators import joins
 from rillstone.operators.aggregates import aggregate
 from rillstone.operators.windows import Spec, aggregated
+from rillstone.sinks import files
 
 #: An event with a key, a numeric value, its time and headers, of which names may occur again.
 EVENT_SCHEMA = "id bigint, key string, value double, ts timestamp, headers array<struct<k: string, v: string>>"
@@ -49,6 +51,11 @@ class EventStream:
         """One event for each item of an array; none for an empty or NULL one."""
         return self._with(self.df.withColumn(self.value, F.explode(F.expr(values) if isinstance(values, str) else values)))
 
+    def flat_map_python(self, f: Callable[[object], Iterable], result: str) -> EventStream:
+        """One event for each item that a Python function gives for a value, for what columns can't say."""
+        many = F.pandas_udf(lambda s: s.map(lambda v: list(f(v))), f"array<{result}>")
+        return self.flat_map(many(F.col(self.value)))
+
     def key_by(self, key: Column | str) -> EventStream:
         return EventStream(self.df.withColumn("key", F.expr(key) if isinstance(key, str) else key), "key", self.value, self.ts, self.tie)
 
@@ -59,6 +66,19 @@ class EventStream:
     def filter_python(self, f: Callable) -> EventStream:
         return self._with(self.df.where(F.pandas_udf(f, "boolean")(F.col(self.value))))
 
+    @classmethod
+    def from_source(cls, df: DataFrame, **names: str) -> EventStream:
+        """The rows of a source (sources.files, sources.http, or any reader of Spark's), bounded or not."""
+        return cls(df, **names)
+
+    def sink(self, path: str, fmt: str = "json", append: bool = True, checkpoint: str | None = None, every: str | None = None) -> StreamingQuery | None:
+        """Write the events to files; unbounded ones need a checkpoint, and give the query that writes them."""
+        if not self.df.isStreaming:
+            return files.write(self.df, path, fmt, append)
+        if checkpoint is None:
+            raise ValueError("a stream needs a checkpoint to be written")
+        return files.start(self.df, path, checkpoint, fmt, every)
+
     def for_each(self, f: Callable[[Row], None]) -> None:
         self.df.foreach(f)
 
@@ -92,8 +112,21 @@ class EventStream:
     def all(self, condition: Column | str) -> DataFrame:
         return self.df.agg(F.coalesce(F.bool_and(F.expr(condition) if isinstance(condition, str) else condition), F.lit(True)).alias("all"))
 
-    def fold(self, start: Column, step: Callable[[Column, Column], Column], by: list[str] | None = None) -> DataFrame:
-        """A step over each event's value in order. It holds a group's values in one row: sums, counts and the like are better said as aggregates."""
+    def fold(self, start: Column, step: Callable[[Column, Column], Column], by: list[str] | None = None, merge: Callable[[Column, Column], Column] | None = None, parts: int = 64) -> DataFrame:
+        """A step over each event's value in order.
+
+        Without `merge` a group's values are held in one row. With it, the step may go over shares of the
+        group, each from `start`, and merge puts the results of two shares together, in any order; a group
+        is then split into up to parts^2 shares, so that it may be large.
+        """
+        if merge is not None:
+            by = by or []
+            share = F.pmod(F.xxhash64(self.tie), F.lit(parts * parts)).alias("__share")
+            folded = self._with(self.df.withColumn("__share", share)).fold(start, step, [*by, "__share"])
+            for upper in (F.floor(F.col("__share") / parts), F.lit(0)):
+                some = folded.withColumn("__share", upper).groupBy(*by, "__share").agg(F.collect_list("fold").alias("__f"))
+                folded = some.select(*by, "__share", F.reduce(F.slice("__f", 2, parts), F.col("__f")[0], merge).alias("fold"))
+            return folded.drop("__share")
         values = F.array_sort(F.collect_list(F.struct(F.col(self.ts), F.col(self.tie), F.col(self.value).alias("v"))))
         return self.df.groupBy(*(by or [])).agg(F.aggregate(values, start, lambda acc, x: step(acc, x["v"])).alias("fold"))
 

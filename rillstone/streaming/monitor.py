@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+from datetime import datetime
 from pathlib import PurePosixPath
 
 from pyspark.sql import SparkSession
@@ -12,29 +13,36 @@ from pyspark.sql.streaming.listener import QueryProgressEvent, QueryStartedEvent
 
 
 class QueryMetrics(StreamingQueryListener):
-    """Rows, batches, rate and time per query; spark.streams.addListener(metrics)."""
+    """Rows, batches, rate, time and watermark per query; spark.streams.addListener(metrics)."""
 
     def __init__(self) -> None:
         self.queries: dict[str, dict[str, float]] = {}
+        self.names: dict[str, str] = {}  # of runs
         self.lock = threading.Lock()
 
     def onQueryStarted(self, event: QueryStartedEvent) -> None:  # noqa: N802
         with self.lock:
-            self.queries.setdefault(event.name or str(event.id), {"rows": 0, "batches": 0, "busy_ms": 0, "rows_per_second": 0.0, "active": 1})
+            self._of(event.name, event.id, event.runId)["active"] = 1
 
     def onQueryProgress(self, event: QueryProgressEvent) -> None:  # noqa: N802
         p = event.progress
         with self.lock:
-            q = self.queries.setdefault(p.name or str(p.id), {"rows": 0, "batches": 0, "busy_ms": 0, "rows_per_second": 0.0, "active": 1})
+            q = self._of(p.name, p.id, p.runId)
             q["rows"] += p.numInputRows
             q["batches"] += 1
             q["busy_ms"] += p.batchDuration
             q["rows_per_second"] = p.processedRowsPerSecond
+            if mark := dict(p.eventTime or {}).get("watermark"):
+                q["watermark_ms"] = datetime.fromisoformat(mark.replace("Z", "+00:00")).timestamp() * 1000
 
     def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:  # noqa: N802
         with self.lock:
-            for q in self.queries.values():
-                q["active"] = 0
+            if (name := self.names.pop(str(event.runId), None)) is not None:
+                self.queries[name]["active"] = 0
+
+    def _of(self, name: str | None, query: object, run: object) -> dict[str, float]:
+        at = self.names[str(run)] = name or str(query)
+        return self.queries.setdefault(at, {"rows": 0, "batches": 0, "busy_ms": 0, "rows_per_second": 0.0, "active": 1})
 
     def as_json(self) -> str:
         with self.lock:
@@ -45,7 +53,7 @@ class QueryMetrics(StreamingQueryListener):
         with self.lock:
             names = sorted({n for q in self.queries.values() for n in q})
             return "".join(
-                f"# TYPE {prefix}_query_{n} gauge\n" + "".join(f'{prefix}_query_{n}{{query="{name}"}} {q[n]:g}\n' for name, q in sorted(self.queries.items())) for n in names
+                f"# TYPE {prefix}_query_{n} gauge\n" + "".join(f'{prefix}_query_{n}{{query="{name}"}} {q[n]:.15g}\n' for name, q in sorted(self.queries.items()) if n in q) for n in names
             )
 
 

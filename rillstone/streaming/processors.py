@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,56 +18,54 @@ def _row(output: str) -> Callable[..., Row]:
 
 
 class SessionProcessor(StatefulProcessor):
-    """Sessions by a timer per key, which every event sets anew.
+    """Sessions by timers that every event sets anew, for transformWithStateInPandas.
 
-    Rows: key, ts (timestamp, with a watermark), kind. A timer that goes off at the deadline of the open
-    session emits it; one set before a later event came is out of date and does nothing. Events of a
-    batch are taken in order of time; one older than the open session's start - possible within the
-    watermark's delay - moves the start back.
+    Rows: key, ms, and a timestamp with a watermark. Events may come in any order within the watermark's
+    delay, so several sessions of a key can be open at once: events that fall into one prolong it, and
+    sessions that grow to within the gap of each other become one. A session is given out only when its
+    timer goes off, that is, when the watermark has passed its end by the gap and no event can change it.
     """
 
-    OUTPUT = "key string, session_start timestamp, session_end timestamp, n_events bigint"
+    OUTPUT = "key string, session_start bigint, session_end bigint, n_events bigint"
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "start_ms bigint, last_ms bigint, n bigint")
-
-    def _out(self, key: tuple, s: tuple) -> Row:
-        from datetime import UTC, datetime
-
-        moment = lambda ms: datetime.fromtimestamp(ms / 1000, UTC)
-        return Row(key=key[0], session_start=moment(s[0]), session_end=moment(s[1]), n_events=s[2])
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        times = sorted(int(r.ts.timestamp() * 1000) for r in rows)
-        open_ = tuple(self.session.get()) if self.session.exists() else None
-        had = open_
-        for t in times:
-            if open_ is None:
-                open_ = (t, t, 1)
-            elif t > open_[1] + self.gap:
-                yield self._out(key, open_)
-                open_ = (t, t, 1)
-            elif t < open_[0] - self.gap:
-                yield self._out(key, (t, t, 1))
+        self.sessions = handle.getMapState("sessions", "start bigint", "last bigint, n bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms = np.sort(np.concatenate([b["ms"].to_numpy() for b in rows]))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(ms) > self.gap]))
+        ends = np.concatenate([starts[1:], [len(ms)]])
+        had = {k[0]: tuple(v) for k, v in self.sessions.iterator()}
+        now: list[list[int]] = []
+        for start, last, n in sorted([*zip(ms[starts].tolist(), ms[ends - 1].tolist(), (ends - starts).tolist(), strict=True), *((k, *v) for k, v in had.items())]):
+            if now and start <= now[-1][1] + self.gap:
+                now[-1][1:] = max(now[-1][1], last), now[-1][2] + n
             else:
-                open_ = (min(t, open_[0]), max(t, open_[1]), open_[2] + 1)
-        if open_ is not None:
-            if had is None or had[1] != open_[1]:
-                if had is not None:
-                    self.handle.deleteTimer(had[1] + self.gap)
-                self.handle.registerTimer(open_[1] + self.gap)
-            self.session.update(open_)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
-        if self.session.exists():
-            s = tuple(self.session.get())
-            if s[1] + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
-                self.session.clear()
-                yield self._out(key, s)
+                now.append([start, last, n])
+        kept = {start: (last, n) for start, last, n in now}
+        before, after = {v[0] for v in had.values()}, {v[0] for v in kept.values()}
+        for k in had.keys() - kept.keys():
+            self.sessions.removeKey((k,))
+        for k, v in kept.items():
+            if had.get(k) != v:
+                self.sessions.updateValue((k,), v)
+        for last in before - after:
+            self.handle.deleteTimer(last + self.gap)
+        for last in after - before:
+            self.handle.registerTimer(last + self.gap)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        due = [(k[0], *v) for k, v in self.sessions.iterator() if v[0] + self.gap <= at]
+        for start, _, _ in due:
+            self.sessions.removeKey((start,))
+        if due:
+            yield pd.DataFrame([(key[0], *d) for d in due], columns=["key", "session_start", "session_end", "n_events"])
 
     def close(self) -> None:
         pass
@@ -150,46 +150,55 @@ class LateWindows(StatefulProcessor):
 
 
 class RunningCount(StatefulProcessor):
-    """Passes every event through with its number among the events of its key. Rows: key, id; numbered in order of id within a batch."""
+    """Passes every event through with its number among the events of its key, for transformWithStateInPandas. Rows: key, id; numbered in order of id within a batch."""
 
     OUTPUT = "key string, id bigint, n bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.n = handle.getValueState("n", "n bigint")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        give = _row(self.OUTPUT)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ids = np.sort(np.concatenate([b["id"].to_numpy() for b in rows]))
         n = self.n.get()[0] if self.n.exists() else 0
-        for r in sorted(rows, key=lambda r: r.id):
-            n += 1
-            yield give(key[0], r.id, n)
-        self.n.update((n,))
+        self.n.update((n + len(ids),))
+        yield pd.DataFrame({"key": [key[0]] * len(ids), "id": ids, "n": np.arange(n + 1, n + len(ids) + 1)})
 
     def close(self) -> None:
         pass
 
 
 class KeyedStore(StatefulProcessor):
-    """Entries per key with expiry and a bound on their number, updated once per transaction.
+    """Entries per key with expiry and bounds on their number and size, updated once per transaction.
 
-    Rows: key, op (put, get, delete, list), name, value, tx, seq. An entry not written for ttl_ms is
-    gone. With more than max_entries the entries used longest ago are removed (policy lru), or those
-    written first (policy oldest). A put whose tx was already applied to the key does nothing. get gives
-    the value or NULL, list the names with the prefix `name`.
+    Rows: key, op, name, value, tx, seq. put writes an entry, but does nothing if its tx was already applied
+    to the key; delete removes one, clear all. get gives the value or NULL, exists `true` or `false`, list the
+    names with the prefix `name`, snapshot all entries with their values, which puts can restore. An entry
+    not written for ttl_ms is gone. Beyond max_entries, or max_bytes of names and values, the entries used
+    longest ago are removed (policy lru), or those written first (policy oldest).
     """
 
     OUTPUT = "key string, seq bigint, op string, name string, value string"
 
-    def __init__(self, ttl_ms: int | None = None, max_entries: int | None = None, policy: str = "lru"):
+    def __init__(self, ttl_ms: int | None = None, max_entries: int | None = None, policy: str = "lru", max_bytes: int | None = None):
         if policy not in ("lru", "oldest"):
             raise ValueError(f"unknown policy {policy!r}")
-        self.ttl, self.max_entries, self.policy = ttl_ms, max_entries, policy
+        self.ttl, self.max_entries, self.policy, self.max_bytes = ttl_ms, max_entries, policy, max_bytes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kept = {"ttlDurationMs": self.ttl} if self.ttl else {}
         self.entries = handle.getMapState("entries", "name string", "value string, written bigint, used bigint", **kept)
         self.applied = handle.getMapState("applied", "tx string", "seq bigint", **kept)
 
+    def _evict(self) -> None:
+        by = 2 if self.policy == "lru" else 1
+        held = sorted((tuple(v)[by], k[0], len(k[0].encode()) + len((v[0] or "").encode())) for k, v in self.entries.iterator())
+        n, size = len(held), sum(h[2] for h in held)
+        for _, name, own in held:
+            if n <= (self.max_entries or n) and size <= (self.max_bytes or size):
+                break
+            self.entries.removeKey((name,))
+            n, size = n - 1, size - own
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
         give = _row(self.OUTPUT)
         for r in sorted(rows, key=lambda r: r.seq):
@@ -200,21 +209,23 @@ class KeyedStore(StatefulProcessor):
                         continue
                     self.applied.updateValue((r.tx,), (r.seq,))
                 self.entries.updateValue(name, (r.value, r.seq, r.seq))
-                if self.max_entries:
-                    by = 2 if self.policy == "lru" else 1
-                    held = sorted((tuple(v)[by], k[0]) for k, v in self.entries.iterator())
-                    for _, old in held[: max(0, len(held) - self.max_entries)]:
-                        self.entries.removeKey((old,))
+                if self.max_entries or self.max_bytes:
+                    self._evict()
             elif r.op == "delete":
                 self.entries.removeKey(name)
+            elif r.op == "clear":
+                for k in [k[0] for k in self.entries.keys()]:
+                    self.entries.removeKey((k,))
             elif r.op == "get":
                 found = self.entries.getValue(name) if self.entries.containsKey(name) else None
                 if found is not None:
                     self.entries.updateValue(name, (found[0], found[1], r.seq))
                 yield give(key[0], r.seq, r.op, r.name, found[0] if found is not None else None)
-            elif r.op == "list":
-                for k in sorted(k[0] for k in self.entries.keys() if k[0].startswith(r.name or "")):
-                    yield give(key[0], r.seq, r.op, k, None)
+            elif r.op == "exists":
+                yield give(key[0], r.seq, r.op, r.name, "true" if self.entries.containsKey(name) else "false")
+            elif r.op in ("list", "snapshot"):
+                for k, v in sorted((k[0], v[0]) for k, v in self.entries.iterator() if k[0].startswith(r.name or "")):
+                    yield give(key[0], r.seq, r.op, k, v if r.op == "snapshot" else None)
 
     def close(self) -> None:
         pass

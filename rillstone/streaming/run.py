@@ -38,12 +38,18 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     return reader.option("recursiveFileLookup", True).parquet(f"{at}/out")
 
 
-def supervised(begin: Callable[[], StreamingQuery], max_restarts: int = 3, delay: float = 5.0) -> int:
-    """Run a query to its end; after a failure begin it anew from its checkpoint. Returns the number of restarts."""
+def supervised(begin: Callable[[], StreamingQuery], max_restarts: int = 3, delay: float = 5.0, stopped: Callable[[], bool] | None = None, poll: float = 1.0) -> int:
+    """Run a query to its end; after a failure begin it anew from its checkpoint. Returns the number of restarts.
+
+    `stopped` is asked every `poll` seconds; once it says so, the query is stopped after the batch that is running.
+    """
     restarts = 0
     while True:
         try:
-            begin().awaitTermination()
+            query = begin()
+            while not query.awaitTermination(poll):
+                if stopped is not None and stopped():
+                    query.stop()
             return restarts
         except Exception:
             if restarts >= max_restarts:

@@ -1,4 +1,8 @@
 import json
+import socket
+import threading
+import time
+import urllib.request
 
 import pytest
 from conftest import rows
@@ -90,3 +94,34 @@ def test_command_line(job_file, tmp_path, capsys, monkeypatch):
     assert "missing settings" in capsys.readouterr().err
     with pytest.raises(JobError, match="unknown settings"):
         Job.from_dict({"name": "a", "source": {}, "sink": {}, "colour": 1})
+
+
+def test_stop_ends_the_query_and_metrics_are_served(spark, job_file, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in.json").rename(tmp_path / "in" / "a.json")
+    with socket.socket() as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    job = Job.from_file(str(job_file))
+    job.source |= {"path": str(tmp_path / "in"), "follow": True}
+    job.sql, job.sink = "SELECT k, COUNT(*) AS event_count FROM events GROUP BY k", {"type": "metrics", "prefix": "p", "mode": "complete", "every": "1 second", "port": port}
+    jobs = Registry(str(tmp_path / "jobs"))
+    at = jobs.submit(job)
+    done = []
+    runner = threading.Thread(target=lambda: done.append(jobs.run(at, spark)))
+    runner.start()
+    text = ""
+    for _ in range(120):
+        try:
+            text = urllib.request.urlopen(f"http://127.0.0.1:{port}/metrics").read().decode()
+        except OSError:
+            pass
+        if "p_event_count" in text:
+            break
+        time.sleep(0.5)
+    assert 'p_event_count{k="a"} 3' in text
+    jobs.stop(at)
+    runner.join(60)
+    assert not runner.is_alive() and done[0]["state"] == "stopped"
+    with pytest.raises(OSError):
+        urllib.request.urlopen(f"http://127.0.0.1:{port}/metrics")

@@ -9,6 +9,7 @@ from rillstone.catalog import reference
 from rillstone.functions import scalar
 from rillstone.operators.aggregates import accumulated, aggregate, custom, percentile_at_index
 from rillstone.operators.windows import count_window, session, sliding, tumbling
+from rillstone.store import shared_dir
 from rillstone.stream import EventStream
 
 T0 = datetime(2025, 1, 1, tzinfo=UTC)
@@ -126,7 +127,7 @@ def test_joins_of_whole_tables(spark, tmp_path):
     """Keys without partner on both sides, and rows of all remainders of their ids."""
     spark.createDataFrame([(1, 1, 10.0), (2, 3, 20.0), (5, 3, 50.0), (7, 8, 70.0), (10, 9, 100.0)], "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (6, 6.0), (8, 8.0)], "c_custkey bigint, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
-    got = lambda name: rows(reference.QUERIES[f"join_{name}_whole"](spark, str(tmp_path)))
+    got = lambda name: rows(reference.QUERIES[f"join_{name}"](spark, str(tmp_path)))
     both = [(1, 10.0, 1.0), (3, 20.0, 3.0), (3, 50.0, 3.0), (8, 70.0, 8.0)]
     left, right = [(9, 100.0, None)], [(2, None, 2.0), (6, None, 6.0)]
     for how, want in (("inner", both), ("left", both + left), ("right", both + right), ("outer", both + left + right)):
@@ -142,14 +143,14 @@ def test_null_safe_join_of_whole_table(spark, tmp_path):
     """Events of all remainders of their ids take part, those without a key as one group."""
     e = [(1, 7, "click"), (2, 57, "error"), (3, 7, "view"), (4, 50, "click"), (5, 9, "view"), (6, 9, "signup")]
     spark.createDataFrame([(*x, 1.0, T0) for x in e], "event_id bigint, user_id bigint, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
-    assert rows(reference.QUERIES["join_null_safe_whole"](spark, str(tmp_path))) == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 3), (6, 1)]
+    assert rows(reference.QUERIES["join_null_safe"](spark, str(tmp_path))) == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 3), (6, 1)]
 
 
 def test_tuples_of_whole_table(spark, tmp_path):
     """Users of all remainders of their ids, with signups only, errors only and both."""
     e = [(1, 1, "signup"), (2, 1, "error"), (3, 5, "signup"), (4, 7, "error"), (5, 12, "signup"), (6, 12, "error"), (7, 12, "error"), (8, 12, "view")]
     spark.createDataFrame([(*x, 1.0, T0) for x in e], "event_id bigint, user_id bigint, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
-    assert rows(reference.QUERIES["join_as_tuples_whole"](spark, str(tmp_path))) == sorted([(1, "(1, 2)"), (5, "(3, null)"), (7, "(null, 4)"), (12, "(5, 6)"), (12, "(5, 7)")], key=repr)
+    assert rows(reference.QUERIES["join_as_tuples"](spark, str(tmp_path))) == sorted([(1, "(1, 2)"), (5, "(3, null)"), (7, "(null, 4)"), (12, "(5, 6)"), (12, "(5, 7)")], key=repr)
 
 
 def test_distinct_by(spark):
@@ -191,3 +192,40 @@ def test_custom_aggregates(spark):
     assert accumulated(s.df.where("false"), ["key"], "value", Mean(), "double").count() == 0
     spread = custom(lambda v: v.max() - v.min(), "double")
     assert rows(s.filter("key = 'a'").group_by("key").agg(x=spread(F.col("value")))) == [("a", 5.0)]
+
+
+def test_fold_in_shares(spark):
+    e = EventStream.from_iter(spark, [(i, "a" if i % 3 else "b", float(i), T0 + timedelta(seconds=i), None) for i in range(500)])
+    step = lambda acc, v: acc + v
+    whole = rows(e.fold(F.lit(0.0), step, ["key"]))
+    assert rows(e.fold(F.lit(0.0), step, ["key"], merge=step, parts=4)) == whole == [("a", 83167.0), ("b", 41583.0)]
+    assert rows(e.fold(F.lit(0.0), step, merge=step)) == [(124750.0,)]
+
+
+def test_python_flat_map_sink_and_source(spark, tmp_path):
+    e = EventStream.from_iter(spark, [(i, "a", float(i), T0, None) for i in range(4)])
+    assert sorted(r["value"] for r in e.flat_map_python(lambda v: [v] * int(v), "double").df.collect()) == [1.0, 2.0, 2.0, 3.0, 3.0, 3.0]
+    e.sink(f"{tmp_path}/out", "parquet")
+    again = EventStream.from_source(spark.read.parquet(f"{tmp_path}/out"))
+    assert again.count() == 4
+    with pytest.raises(ValueError):
+        EventStream.from_source(spark.readStream.schema(again.df.schema).parquet(f"{tmp_path}/out")).sink(f"{tmp_path}/more")
+    q = EventStream.from_source(spark.readStream.schema(again.df.schema).parquet(f"{tmp_path}/out")).sink(f"{tmp_path}/more", "parquet", checkpoint=f"{tmp_path}/log")
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/more").count() == 4
+
+
+def test_shared_folder_on_a_cluster():
+    class Conf(dict):
+        set = dict.__setitem__
+
+    def session(master, conf):
+        return type("S", (), {"conf": conf, "sparkContext": type("C", (), {"master": master})})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://host:7077", Conf()))
+    with pytest.raises(RuntimeError):
+        shared_dir(session("local-cluster[2,1,1024]", Conf()))
+    assert shared_dir(session("yarn", Conf({"spark.checkpoint.dir": "/shared"}))) == "/shared"
+    conf = Conf()
+    assert shared_dir(session("local[4]", conf)) == shared_dir(session("local[4]", conf))

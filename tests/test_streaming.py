@@ -42,20 +42,30 @@ def test_dedup_keeps_records_without_transaction(spark, tmp_path):
     r = [(1, "t1"), (2, "t2"), (1, "t1"), (3, None), (3, None), (4, None)]
     data = [(e, "a", 1, i, i, T0 + timedelta(seconds=i), t) for i, (e, t) in enumerate(r)]
     spark.createDataFrame(data, "event_id bigint, key string, value bigint, ms bigint, arrival_seq bigint, arrived_at timestamp, transaction_id string").write.parquet(f"{tmp_path}/stream_events.parquet")
-    assert rows(streams.stream_dedup_whole(spark, str(tmp_path))) == sorted([("t1", 1), ("t2", 2), (None, 3), (None, 3), (None, 4)], key=repr)
+    assert rows(streams.stream_dedup(spark, str(tmp_path))) == sorted([("t1", 1), ("t2", 2), (None, 3), (None, 3), (None, 4)], key=repr)
+
+
+def timed(spark, tmp_path, batches, delay, gap):
+    s = fed(spark, tmp_path, [[(k, T0 + timedelta(seconds=x), int((T0.timestamp() + x) * 1000)) for k, x in b] for b in batches], "key string, ts timestamp, ms bigint")
+    out = drained(s.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(SessionProcessor(gap), SessionProcessor.OUTPUT, "Append", "EventTime"))
+    at = int(T0.timestamp() * 1000)
+    return sorted((k, (a - at) // 1000, (b - at) // 1000, n) for k, a, b, n in rows(out))
 
 
 def test_session_timers_over_batches(spark, tmp_path):
-    at = lambda k, s: (k, T0 + timedelta(seconds=s))
-    s = fed(spark, tmp_path, [[at("a", 0), at("a", 8), at("b", 1)], [at("a", 18), at("a", 40)], [at("c", 200)], [at("c", 400)]], "key string, ts timestamp")
-    out = drained(s.withWatermark("ts", "1 second").groupBy("key").transformWithState(SessionProcessor(10_000), SessionProcessor.OUTPUT, "Append", "EventTime"))
-    got = [(k, (a - T0.replace(tzinfo=None)).seconds, (b - T0.replace(tzinfo=None)).seconds, n) for k, a, b, n in rows(out)]
-    assert sorted(got) == [("a", 0, 18, 3), ("a", 40, 40, 1), ("b", 1, 1, 1), ("c", 200, 200, 1)]
+    got = timed(spark, tmp_path, [[("a", 0), ("a", 8), ("b", 1)], [("a", 18), ("a", 40)], [("c", 200)], [("c", 400)]], "1 second", 10_000)
+    assert got == [("a", 0, 18, 3), ("a", 40, 40, 1), ("b", 1, 1, 1), ("c", 200, 200, 1)]
+
+
+def test_sessions_out_of_order(spark, tmp_path):
+    """Within the watermark's delay, sessions stay open side by side, and events between two make them one."""
+    batches = [[("a", 1000)], [("a", 500), ("a", 510)], [("a", 1100)], [("a", 1020), ("a", 1080)], [("a", 1050)], [("b", 9000)], [("b", 9900)]]
+    assert timed(spark, tmp_path, batches, "1000 seconds", 30_000) == [("a", 500, 510, 2), ("a", 1000, 1100, 5)]
 
 
 def test_running_count(spark, tmp_path):
     s = fed(spark, tmp_path, [[("a", 1), ("b", 2)], [("a", 3), ("a", 4)]], "key string, id bigint")
-    out = drained(s.groupBy("key").transformWithState(RunningCount(), RunningCount.OUTPUT, "Append", "None"))
+    out = drained(s.groupBy("key").transformWithStateInPandas(RunningCount(), RunningCount.OUTPUT, "Append", "None"))
     assert rows(out) == [("a", 1, 1), ("a", 3, 2), ("a", 4, 3), ("b", 2, 1)]
 
 
@@ -71,6 +81,14 @@ def test_keyed_store(spark, tmp_path):
         KeyedStore(policy="random")
 
 
+def test_keyed_store_snapshot_and_size(spark, tmp_path):
+    op = lambda q, o, n=None, v=None: ("k", o, n, v, None, q)
+    batches = [[op(1, "put", "a", "xx"), op(2, "put", "b", "yyyy"), op(3, "exists", "a"), op(4, "snapshot")], [op(5, "put", "c", "zzzz"), op(6, "exists", "a"), op(7, "clear"), op(8, "snapshot"), op(9, "exists", "c")]]
+    s = fed(spark, tmp_path, batches, "key string, op string, name string, value string, tx string, seq bigint")
+    out = drained(s.groupBy("key").transformWithState(KeyedStore(max_bytes=10), KeyedStore.OUTPUT, "Append", "None"))
+    assert sorted((q, n, v) for _, q, _, n, v in rows(out)) == [(3, "a", "true"), (4, "a", "xx"), (4, "b", "yyyy"), (6, "a", "false"), (9, "c", "false")]
+
+
 def test_policies(spark, tmp_path):
     s = fed(spark, tmp_path, [[("a", 1, 1, 100, 1), ("a", 2, 2, 1500, 1)], [("a", 3, 3, 200, 1), ("a", 4, 4, 4000, 1)], [("a", 5, 5, 300, 1), (None, 6, 6, 300, 1)]], "key string, event_id bigint, seq bigint, ms bigint, value bigint")
     c = spark.createDataFrame([("a", 1000, 1000, 0)], "key string, window_ms bigint, lateness bigint, disorder bigint")
@@ -94,6 +112,21 @@ def test_monitor(spark, tmp_path):
             if "copy" in m.queries and m.queries["copy"]["rows"] == 2:
                 break
             time.sleep(0.2)
+        assert m.queries["copy"]["active"] == 0
+        other = spark.readStream.format("rate").load().writeStream.queryName("other").format("noop").start()
+        for _ in range(50):
+            if m.queries.get("other", {}).get("active"):
+                break
+            time.sleep(0.2)
+        again = s.writeStream.queryName("again").format("noop").trigger(availableNow=True).start()
+        again.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        for _ in range(50):
+            if m.queries.get("again", {}).get("active") == 0:
+                break
+            time.sleep(0.2)
+        assert m.queries["again"]["active"] == 0 and m.queries["other"]["active"] == 1  # the end of one isn't the end of all
+        other.stop()
         assert m.queries["copy"]["rows"] == 2 and 'rillstone_query_rows{query="copy"} 2' in m.text() and '"copy"' in m.as_json()
     finally:
         spark.streams.removeListener(m)
