@@ -218,3 +218,17 @@ def encoded(df: DataFrame, doc_id: Column, text: Column, path: str = f"{FOLDER}/
 
     rows = df.select(doc_id.cast("bigint").alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, "doc_id bigint, n_tokens int" if lengths_only else "doc_id bigint, ids array<int>")
+
+
+def decoded(df: DataFrame, doc_id: Column, ids: Column, path: str = f"{FOLDER}/byte_bpe_50k.json") -> DataFrame:
+    """The texts of lists of ids: doc_id BIGINT, text STRING. A NULL list is an empty text; bytes that are no text become U+FFFD."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = {c: b for b, c in enumerate(byte_characters())}
+        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        raw = {k: bytes(written[c] for c in token) for token, k in vocab.items() if all(c in written for c in token)}
+        for b in batches:
+            texts = [b"".join([raw[i] for i in own or ()]).decode("utf-8", "replace") for own in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return df.select(doc_id.cast("bigint").alias("doc_id"), ids.alias("ids")).mapInArrow(decode, "doc_id bigint, text string")

@@ -33,7 +33,9 @@ def model():
     data = corpus(700, 1)
     rng = random.Random(2)
     votes = np.array([sum(rng.random() < (0.92 if bad else 0.05) for _ in range(2)) for _, bad in data])
-    return abuse.train([t for t, _ in data], votes, np.full(len(data), 2), nets=1)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(abuse, "ROUNDS", 12)
+        return abuse.train([t for t, _ in data], votes, np.full(len(data), 2), nets=1)
 
 
 def test_held_out_accuracy(model):

@@ -92,3 +92,5 @@ def test_encoded(spark):
     n = {r["doc_id"]: r["n_tokens"] for r in bpe.encoded(df, F.col("doc_id"), F.col("text"), lengths_only=True).collect() if r["doc_id"] not in (3, None)}
     assert n == {i: len(x) for i, x in by.items()}
     assert bpe.encoded(df.where("false"), F.col("doc_id"), F.col("text")).count() == 0
+    again = {r["doc_id"]: r["text"] for r in bpe.decoded(bpe.encoded(df, F.col("doc_id"), F.col("text")), F.col("doc_id"), F.col("ids")).collect() if r["doc_id"] not in (3, None)}
+    assert again == {i: t or "" for i, t, _ in data if i not in (3, None)}
