@@ -8,7 +8,7 @@ import time
 import tomllib
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +69,17 @@ class Job:
             out.append("a job that keeps running needs a checkpoint")
         return out
 
+    # building
+    def changed(self, **settings: object) -> Job:
+        """The job with other settings."""
+        return replace(self, **settings)
+
+    def filter(self, expr: str) -> Job:
+        return replace(self, operators=[*self.operators, {"type": "filter", "expr": expr}])
+
+    def map(self, expr: str) -> Job:
+        return replace(self, operators=[*self.operators, {"type": "map", "expr": expr}])
+
     @property
     def unbounded(self) -> bool:
         return self.source.get("type") == "http" or bool(self.source.get("follow"))
@@ -104,7 +115,7 @@ class Job:
     def read(self, spark: SparkSession) -> DataFrame:
         s = {k: v for k, v in self.source.items() if k != "type"}
         if self.source["type"] == "file":
-            names = {"path": "path", "format": "fmt", "schema": "schema", "follow": "follow", "key": "key", "event_time": "event_time", "header": "header", "files_per_trigger": "files_per_trigger"}
+            names = {"path": "path", "format": "fmt", "schema": "schema", "follow": "follow", "key": "key", "event_time": "event_time", "header": "header", "files_per_trigger": "files_per_trigger", "bytes_per_trigger": "bytes_per_trigger"}
             if extra := set(s) - set(names):
                 raise JobError(f"unknown settings of a file source: {', '.join(sorted(extra))}")
             return read_file(spark, **{names[k]: v for k, v in s.items()})

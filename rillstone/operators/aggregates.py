@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
+from rillstone.operators.ranks import running
+
 #: By name; each takes a column (count also none).
 AGGREGATES: dict[str, Callable[..., Column]] = {
     "count": lambda c=None: F.count(F.lit(1)) if c is None else F.count(c),
@@ -34,13 +36,16 @@ def aggregate(name: str, column: Column | None = None, empty_as_zero: bool = Fal
 def percentile_at_index(df: DataFrame, keys: list[str], column: str, at: dict[str, float]) -> DataFrame:
     """Per group and name in `at`: the value at index floor((n - 1) * p) of the group's sorted values.
 
-    Values are counted first, so a group is as many rows as it has distinct values, and is never held in
-    memory: the ranks are running sums over the sorted values.
+    Values are counted first, so a group is as many rows as it has distinct values; the ranks are running
+    sums over the sorted values, split over the tasks.
     """
     counted = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
-    whole = Window.partitionBy(*keys)
-    upto = F.sum("__n").over(whole.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(whole))
+    upto = running(counted, keys, [column], F.col("__n"))
+    sizes = upto.groupBy(*keys).agg(F.max("__upto").alias("__all")).select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], "__all")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    ranked = upto.join(sizes, same)
     index = lambda p: F.floor((F.col("__all") - 1) * F.lit(p))
     hit = lambda p: (index(p) < F.col("__upto")) & (index(p) >= F.col("__upto") - F.col("__n"))
     return ranked.groupBy(*keys).agg(*[F.max(F.when(hit(p), F.col(column))).alias(name) for name, p in at.items()])

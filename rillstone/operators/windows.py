@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.operators.ranks import running
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -69,8 +71,8 @@ def assigned(df: DataFrame, ts: str, spec: Spec, keys: list[str] | None = None,
     if spec.kind == "session":
         us = F.unix_micros(ts)
         return df, F.struct(F.col(ts).alias("start"), F.timestamp_micros(us + round(spec.size * 1000)).alias("end")).alias("__w")
-    order = Window.partitionBy(*(keys or [])).orderBy(*[c for c in (ts, tie) if c])
-    return df.withColumn("__nth", F.floor((F.row_number().over(order) - 1) / F.lit(spec.size))), [F.col("__nth")]
+    numbered = running(df, keys or [], [c for c in (ts, tie) if c])
+    return numbered.withColumn("__nth", F.floor((F.col("__upto") - 1) / F.lit(spec.size))).drop("__upto"), [F.col("__nth")]
 
 
 def aggregated(df: DataFrame, ts: str, spec: Spec, keys: list[str], aggs: dict[str, Column], tie: str | None = None) -> DataFrame:

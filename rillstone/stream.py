@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from queue import Queue
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ class EventStream:
         df = spark.createDataFrame([(i, None, v) for i, v in enumerate(values)], "id bigint, key string, value double")
         return cls(df.withColumn("ts", F.current_timestamp()))
 
+    @classmethod
+    def from_channel(cls, spark: SparkSession, channel: Queue, schema: str = EVENT_SCHEMA, **names: str) -> EventStream:
+        """The rows that are put into a queue, until a None."""
+        return cls.from_iter(spark, iter(channel.get, None), schema, **names)
+
     @classmethod
     def empty(cls, spark: SparkSession) -> EventStream:
         return cls.from_iter(spark, [])
@@ -79,6 +85,14 @@ class EventStream:
             raise ValueError("a stream needs a checkpoint to be written")
         return files.start(self.df, path, checkpoint, fmt, every)
 
+    def sink_with(self, write: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append", every: str | None = None) -> StreamingQuery | None:
+        """A sink of one's own: it is given the rows and the number of their batch; a batch may come again after a failure."""
+        if not self.df.isStreaming:
+            return write(self.df, 0)
+        w = self.df.writeStream.foreachBatch(write).outputMode(mode)
+        w = w.option("checkpointLocation", checkpoint) if checkpoint else w
+        return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
     def for_each(self, f: Callable[[Row], None]) -> None:
         self.df.foreach(f)
 
@@ -159,8 +173,10 @@ class EventStream:
         each = self.df.withColumn("window", F.explode(F.expr(windows) if isinstance(windows, str) else windows))
         return Grouped(self._with(each), ["window", *(by or [self.key])])
 
-    def with_watermark(self, delay: str) -> EventStream:
-        return self._with(self.df.withWatermark(self.ts, delay))
+    def with_watermark(self, delay: str, at: Column | str | None = None) -> EventStream:
+        """By the events' time, or a time of one's own (such as one bounded by the time of arrival), which becomes theirs."""
+        df = self.df if at is None else self.df.withColumn(self.ts, F.expr(at) if isinstance(at, str) else at)
+        return self._with(df.withWatermark(self.ts, delay))
 
     def join(self, other: EventStream, how: str = "inner", within_ms: int | None = None, unmatched: str = "row", null_safe: bool = False) -> JoinedStream:
         sides = [s.df.select(F.col(s.key).alias("key"), F.col(s.value).alias("value"), F.col(s.ts).alias("ts")) for s in (self, other)]

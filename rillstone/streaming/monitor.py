@@ -68,6 +68,25 @@ def batches(spark: SparkSession, checkpoint: str) -> list[int]:
     return sorted((int(n) for n in names if n.isdigit()), reverse=True)
 
 
+def rewind(spark: SparkSession, checkpoint: str, batch: int) -> list[int]:
+    """Take a checkpoint back to a committed batch: a query started from it goes on after that one. The batches taken back.
+
+    Its state must still be kept (spark.sql.streaming.minBatchesToRetain), and its sink must take batches again
+    (foreachBatch; file sinks leave out batches that they have written).
+    """
+    if batch not in (known := batches(spark, checkpoint)):
+        raise ValueError(f"there is no batch {batch}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for log in ("commits", "offsets"):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/{log}")
+        fs = folder.getFileSystem(conf)
+        for f in fs.listStatus(folder):
+            name = PurePosixPath(str(f.getPath())).name
+            if name.isdigit() and int(name) > batch:
+                fs.delete(f.getPath(), False)
+    return [b for b in known if b > batch]
+
+
 def forget(spark: SparkSession, checkpoint: str) -> bool:
     """Delete a checkpoint: the query begins anew. Whether there was one."""
     jvm = spark.sparkContext._jvm

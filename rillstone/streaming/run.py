@@ -47,8 +47,11 @@ def supervised(begin: Callable[[], StreamingQuery], max_restarts: int = 3, delay
     while True:
         try:
             query = begin()
+            if stopped is None:
+                query.awaitTermination()
+                return restarts
             while not query.awaitTermination(poll):
-                if stopped is not None and stopped():
+                if stopped():
                     query.stop()
             return restarts
         except Exception:

@@ -44,6 +44,11 @@ def test_run(spark, job_file, tmp_path):
     assert 'ad_events_total{k="a"} 3' in m.text()
 
 
+def test_building():
+    job = Job("j", {"type": "file", "path": "in"}, {"type": "file", "path": "out"}).filter("v > 1").map("v + 1 AS w").changed(parallelism=2)
+    assert job.checked().operators == [{"type": "filter", "expr": "v > 1"}, {"type": "map", "expr": "v + 1 AS w"}] and job.parallelism == 2
+
+
 def test_unbounded(spark, job_file, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in.json").rename(tmp_path / "in" / "a.json")

@@ -9,6 +9,7 @@ from conftest import rows
 from rillstone.sinks import files as sink
 from rillstone.sinks.metrics import Metrics, serve
 from rillstone.sinks.once import once, unseen
+from rillstone.sources import tail
 from rillstone.sources.files import read_file
 from rillstone.sources.http import HttpReader, at_path, register
 from rillstone.streaming.run import drained, supervised
@@ -132,3 +133,22 @@ def test_supervised():
     Q.left = 9
     with pytest.raises(RuntimeError):
         supervised(Q, 1, 0)
+
+
+def test_tail_of_a_growing_file(spark, tmp_path):
+    path = tmp_path / "log.json"
+    path.write_text('{"k": "a", "v": 1}\nbroken\n{"k": "b", "v"')
+    read = lambda **kw: read_file(spark, str(path), "json", "k string, v int", follow=True, **kw)
+
+    def go_on():
+        read(key="k").select("key", "v").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+        return rows(spark.read.schema("key string, v int").parquet(f"{tmp_path}/out"))
+
+    assert go_on() == [("a", 1)]  # a line that isn't whole yet waits
+    with path.open("a") as f:
+        f.write(': 2}\n{"k": "c", "v": 3}\n')
+    assert go_on() == [("a", 1), ("b", 2), ("c", 3)]
+    r = tail.TailReader({"path": str(path), "bytes_per_batch": "5"})
+    first, end = r.read(r.initialOffset())
+    assert list(first) == list(r.readBetweenOffsets({"at": 0}, end)) == [('{"k": "a", "v": 1}',)]
+    assert tail.TailReader({"path": f"{path}.none"}).read({"at": 0})[1] == {"at": 0} and tail.TailReader({"path": str(path), "from_end": "true"}).initialOffset() == {"at": path.stat().st_size}

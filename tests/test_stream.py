@@ -1,13 +1,15 @@
 import random
 from datetime import UTC, datetime, timedelta
+from queue import Queue
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from rillstone.catalog import reference
-from rillstone.functions import scalar
+from rillstone.functions import scalar, trace
 from rillstone.operators.aggregates import accumulated, aggregate, custom, percentile_at_index
+from rillstone.operators.ranks import running
 from rillstone.operators.windows import count_window, session, sliding, tumbling
 from rillstone.store import shared_dir
 from rillstone.stream import EventStream
@@ -229,3 +231,43 @@ def test_shared_folder_on_a_cluster():
     assert shared_dir(session("yarn", Conf({"spark.checkpoint.dir": "/shared"}))) == "/shared"
     conf = Conf()
     assert shared_dir(session("local[4]", conf)) == shared_dir(session("local[4]", conf))
+
+
+def test_running_sums_of_large_keys(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.randint(1, 5)) for i in range(3000)]
+    df = spark.createDataFrame(data, "k string, t int, w bigint").repartition(5)
+    want, upto = {}, {}
+    for k, t, w in data:
+        upto[k] = upto.get(k, 0) + w
+        want[t] = upto[k]
+    assert {r["t"]: r["__upto"] for r in running(df, ["k"], ["t"], F.col("w")).collect()} == want
+    assert {r["t"]: r["__upto"] for r in running(df, [], ["t"]).collect()} == {i: i + 1 for i in range(3000)}
+    assert running(df.where("false"), ["k"], ["t"]).count() == 0
+
+
+def test_channels_watermarks_and_sinks_of_ones_own(spark, tmp_path):
+    q = Queue()
+    for x in [(1, "a", 1.0, T0, None), (2, "b", 2.0, T0, None), None]:
+        q.put(x)
+    e = EventStream.from_channel(spark, q)
+    assert values(e) == [1.0, 2.0]
+    seen = []
+    e.sink_with(lambda df, n: seen.append((n, df.count())))
+    e.df.write.parquet(f"{tmp_path}/in")
+    s = EventStream.from_source(spark.readStream.schema(e.df.schema).parquet(f"{tmp_path}/in")).with_watermark("1 second", "least(ts, TIMESTAMP '2024-01-01')")
+    s.sink_with(lambda df, n: seen.append((n, df.count(), df.select(F.year("ts")).first()[0])), f"{tmp_path}/log").awaitTermination()
+    assert seen == [(0, 2), (0, 2, 2024)]
+
+
+def test_trace_context(spark):
+    context = f"00-{'ab' * 16}-{'cd' * 8}-01"
+    data = [(1, [("x", "1"), ("traceparent", context)]), (2, None), (3, [("traceparent", "nonsense")]), (4, [("traceparent", f"00-{'0' * 32}-{'cd' * 8}-01")])]
+    df = spark.createDataFrame(data, "id int, headers array<struct<k: string, v: string>>")
+    h = F.col("headers")
+    read = {r[0]: tuple(r)[1:] for r in df.select("id", trace.trace_id(h), trace.span_id(h), trace.sampled(h)).collect()}
+    assert read == {1: ("ab" * 16, "cd" * 8, True), 2: (None,) * 3, 3: (None,) * 3, 4: (None,) * 3}
+    again = df.select("id", trace.traced(h, F.col("id"), "filter").alias("headers"))
+    one, two = ({r[0]: tuple(r)[1:] for r in again.select("id", trace.trace_id(h), trace.span_id(h), F.size(h)).collect()} for _ in range(2))
+    assert one == two and one[1][0] == "ab" * 16 and one[1][1] != "cd" * 8 and one[1][2] == 2 and one[2][2] == 1
+    assert len({v[0] for v in one.values()}) == 4

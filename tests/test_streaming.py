@@ -5,7 +5,7 @@ from conftest import rows
 
 from rillstone.catalog import streams
 from rillstone.streaming.late import late_windows
-from rillstone.streaming.monitor import QueryMetrics, batches, forget
+from rillstone.streaming.monitor import QueryMetrics, batches, forget, rewind
 from rillstone.streaming.processors import KeyedStore, LateWindows, RunningCount, SessionProcessor
 from rillstone.streaming.run import drained
 
@@ -132,3 +132,22 @@ def test_monitor(spark, tmp_path):
         spark.streams.removeListener(m)
     assert batches(spark, f"{tmp_path}/c") == [1, 0] and batches(spark, f"{tmp_path}/none") == []
     assert forget(spark, f"{tmp_path}/c") and not forget(spark, f"{tmp_path}/c")
+
+
+def test_rewind(spark, tmp_path):
+    """A running count taken back to its first batch counts the later ones again."""
+    s = fed(spark, tmp_path, [[("a", 1)], [("a", 2)], [("a", 3)]], "key string, id bigint")
+    seen = []
+
+    def go_on():
+        out = s.groupBy("key").transformWithStateInPandas(RunningCount(), RunningCount.OUTPUT, "Append", "None")
+        out.writeStream.foreachBatch(lambda d, n: seen.extend((r["id"], r["n"]) for r in d.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    go_on()
+    assert seen == [(1, 1), (2, 2), (3, 3)]
+    seen.clear()
+    assert rewind(spark, f"{tmp_path}/cp", 0) == [2, 1]
+    go_on()
+    assert seen == [(2, 2), (3, 3)]
+    with pytest.raises(ValueError):
+        rewind(spark, f"{tmp_path}/cp", 99)
