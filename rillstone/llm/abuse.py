@@ -33,7 +33,7 @@ FEW = 20
 #: Words by which an abusive window is moved at random, and the share of plain words that are replaced.
 JITTER, REPLACED = 10, 0.3
 #: The threshold is set between these scores; so many times do clean documents count, as they are rarer among the judged than at large.
-LOWEST, HIGHEST, CLEAN_WEIGHT = 0.25, 0.6, 6.0
+LOWEST, HIGHEST, CLEAN_WEIGHT = 0.25, 0.5, 6.0
 #: Longer words are cut into overlapping pieces of so many letters.
 LONGEST, PIECE = 24, 16
 #: Words and pieces of text remembered by a worker, windows scored at once.
