@@ -81,9 +81,9 @@ def percentiles(part: DataFrame, at: tuple[float, ...] = (0.5,)) -> DataFrame:
 
     For every group and percentile an interval of keys is held, with the number of rows below it. Each
     pass counts the group's rows below 63 dividing points of the interval and keeps the part with the
-    target rank, until that holds one key; rows outside all intervals are left behind. Rows are counted
+    target rank, until that holds one key; once most rows are outside all intervals, these are left behind. Rows are counted
     where they lie and combined before they move, and meet the intervals in shares, so a group with a
-    large part of all rows is no burden. Only the number of open intervals comes to the driver. 64-bit
+    large part of all rows is no burden. Only how many intervals are open, and the rows in them, comes to the driver. 64-bit
     keys need at most 12 passes. The passes run while the result is being asked for, not when it is read.
     """
     groups = [c for c in part.columns if c not in ("key", "value", "n")]
@@ -91,26 +91,28 @@ def percentiles(part: DataFrame, at: tuple[float, ...] = (0.5,)) -> DataFrame:
     part = written(part.select("*", share))
     same = [*[F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups], F.col("a.share") == F.col("b.share"), F.col("a.key").between(F.col("b.lo"), F.col("b.hi"))]
     micro = F.explode(F.array(*[F.lit(round(p * 1_000_000)) for p in at])).alias("micro")
-    whole = part.groupBy(*groups).agg(F.sum("n").alias("total"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("value").alias("found"))
-    state = whole.select(*groups, "total", "lo", "hi", "found", micro)
+    whole = part.groupBy(*groups).agg(F.sum("n").alias("total"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("value").alias("found"), F.count(F.lit(1)).alias("rows"))
+    state = whole.select(*groups, "total", "lo", "hi", "found", "rows", micro)
     need = F.expr("CAST(ceil(CAST(micro AS DECIMAL(10,0)) * total / 1000000BD) AS BIGINT)")
     state = written(state.withColumn("rank", F.greatest(need, F.lit(1).cast("bigint"))).withColumn("below", F.lit(0).cast("bigint")))
     done = state.where("lo = hi")
-    for turn in range(MAX_PASSES):
+    held_rows = part.count()
+    for _ in range(MAX_PASSES):
         open_ = state.where("lo < hi")
-        if open_.isEmpty():
+        intervals, rows = open_.agg(F.count(F.lit(1)), F.sum("rows")).first()
+        if not intervals:
             break
         want = open_.withColumn("share", F.explode(F.array(*[F.lit(k).cast("tinyint") for k in range(SHARES)]))).alias("b")
-        if turn:  # before the first pass every row is in an interval
-            part = written(part.alias("a").join(want, same, "left_semi"))
+        if 2 * rows < held_rows:  # else leaving rows behind costs more than it spares
+            part, held_rows = written(part.alias("a").join(want, same, "left_semi")), rows
         inside = part.alias("a").join(want, same)
         nth = F.expr(f"CASE WHEN b.lo < 0 AND b.hi >= 0 THEN CASE WHEN a.key < 0 THEN 0L ELSE 1L END ELSE (a.key - b.lo) DIV ((b.hi - b.lo) DIV {PARTS} + 1) END")
         held = [*[F.col(f"b.{g}").alias(g) for g in groups], *[F.col(f"b.{c}").alias(c) for c in ("total", "micro", "rank", "below")]]
-        cut = inside.groupBy(*held, nth.alias("nth")).agg(F.sum("a.n").alias("n"), F.min("a.key").alias("lo"), F.max("a.key").alias("hi"), F.min("a.value").alias("found"))
+        cut = inside.groupBy(*held, nth.alias("nth")).agg(F.sum("a.n").alias("n"), F.min("a.key").alias("lo"), F.max("a.key").alias("hi"), F.min("a.value").alias("found"), F.count(F.lit(1)).alias("rows"))
         by = Window.partitionBy(*groups, "micro").orderBy("nth")
         upto = F.col("below") + F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         told = cut.withColumn("upto", upto).where("upto >= rank AND upto - n < rank")
-        state = written(told.select(*groups, "total", "lo", "hi", "found", "micro", "rank", (F.col("upto") - F.col("n")).alias("below")))
+        state = written(told.select(*groups, "total", "lo", "hi", "found", "rows", "micro", "rank", (F.col("upto") - F.col("n")).alias("below")))
         done = done.unionByName(state.where("lo = hi"))
     else:
         if not state.where("lo < hi").isEmpty():
