@@ -362,8 +362,8 @@ def fitted(documents: DataFrame, doc_id: Column, text: Column, ratings: DataFram
     """A model learned from judged documents.
 
     ratings: doc_id, rater, abusive (1, 0 or NULL, which is no judgement). At most sample_docs judged
-    documents are used, whole, chosen by a hash of their id; with fewer, all are. Without judgements, or
-    if no document is held to be abusive, the model finds nothing.
+    documents are used, whole, chosen by a hash of their id; with fewer, all are. Of rows with one id the
+    one with the smallest text is used. Without judgements, or if no document is held to be abusive, the model finds nothing.
 
     The networks are learned side by side by tasks of the cluster, from the sample in the shared folder, and
     kept there under a mark of sample and settings: the same sample is learned from once. Only the
@@ -374,7 +374,8 @@ def fitted(documents: DataFrame, doc_id: Column, text: Column, ratings: DataFram
     told = one.groupBy("doc_id").agg(F.sum((F.col("a") > 0).cast("int")).alias("votes"), F.count(F.lit(1)).alias("cast"))
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     d = documents.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where("text <> ''")
-    sample = written(d.join(F.broadcast(chosen), "doc_id"))  # not more than sample_docs rows are broadcast
+    judged = d.join(F.broadcast(chosen), "doc_id")  # not more than sample_docs rows are broadcast
+    sample = written(judged.groupBy("doc_id", "votes", "cast").agg(F.min("text").alias("text")))
     seen = sample.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("doc_id", "text", "votes", "cast"), F.lit(1 << 40)))).first()
     if not seen[0]:
         return Model([Network(0)], 2.0)
@@ -382,7 +383,7 @@ def fitted(documents: DataFrame, doc_id: Column, text: Column, ratings: DataFram
     path = f"{shared_dir(spark)}/rillstone/models/{crc32(repr(settings).encode()):08x}-{seen[0]}-{seen[1]}"
 
     def learn(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["doc_id", "text"])
+        g = g.sort_values("doc_id")
         net, high = train_one(g["text"].tolist(), g["votes"].to_numpy(), g["cast"].to_numpy(), int(g["net"].iloc[0]))
         return pd.DataFrame({"net": [int(g["net"].iloc[0])], "weights": [pickle.dumps(net.p)], "high": [None if high is None else high.tolist()], "votes": [g["votes"].tolist()], "cast": [g["cast"].tolist()]})
 

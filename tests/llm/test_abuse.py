@@ -104,7 +104,7 @@ def test_long_judged_documents_and_one_fit(spark, monkeypatch, model):
     monkeypatch.setattr(abuse, "ROUNDS", 2)
     monkeypatch.setattr(abuse, "STEPS", 3)
     long = " ".join(CLEAN * 2000)
-    docs = spark.createDataFrame([(i, f"{long} you are a worthless moron" if i % 4 == 0 else f"{i} {' '.join(CLEAN)}") for i in range(40)] + [(100, None), (101, "")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(0, "zzz")] * 50 + [(i, f"{long} you are a worthless moron" if i % 4 == 0 else f"{i} {' '.join(CLEAN)}") for i in range(40)] + [(100, None), (101, "")], "doc_id bigint, text string")
     votes = spark.createDataFrame([(i, r, int(i % 4 == 0)) for i in [*range(40), 100, 101] for r in "ab"], "doc_id bigint, rater string, abusive int")
     first = abuse.fitted(docs, F.col("doc_id"), F.col("text"), votes)
     assert len(first.nets) == abuse.NETS and first.threshold <= 1
