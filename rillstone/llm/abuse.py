@@ -19,8 +19,8 @@ from rillstone.store import shared_dir, written
 
 #: Words of a window, and words from one window to the next: a wording of up to 17 words stands whole in a window.
 WINDOW, STRIDE = 40, 24
-#: Networks that are learned, each from its own random start; a window's score is the mean of their logits.
-NETS = 2
+#: Networks that are learned, each from its own random start and without its own fifth of the documents; a window's score is the mean of their logits.
+NETS = 5
 #: Bound of the labelled sample, in documents; their texts are used whole.
 SAMPLE_DOCS = 6_000
 #: Rounds of learning, steps of a round and windows of a step; the number of steps doesn't depend on the
@@ -37,7 +37,7 @@ LOWEST, HIGHEST, CLEAN_WEIGHT = 0.25, 0.5, 6.0
 #: Longer words are cut into overlapping pieces of so many letters.
 LONGEST, PIECE = 24, 16
 #: Words and pieces of text remembered by a worker, windows scored at once.
-REMEMBERED, AT_ONCE = 200_000, 4096
+REMEMBERED, AT_ONCE = 200_000, 2048
 
 #: Letters that look like Latin ones, and signs written for letters.
 LOOKALIKES = str.maketrans("аеорсухіѕјһԁԛԝмтнквαοενιτυρκ", "aeopcyxisjhdqwmthkbaoevitupk")
@@ -201,11 +201,11 @@ class Model:
         self.nets, self.threshold = nets, threshold
 
 
-def kept_back(n: int) -> np.ndarray:
-    """The fifth of n documents that isn't learned from, the same for all networks; none of few."""
+def kept_back(n: int, nth: int) -> np.ndarray:
+    """The fifth of n documents that the nth network isn't learned from, another for each of five; none of few."""
     held = np.zeros(n, bool)
     if n >= 500:
-        held[np.random.default_rng(7).permutation(n)[: n // 5]] = True
+        held[np.random.default_rng(7).permutation(n)[nth % 5 :: 5]] = True
     return held
 
 
@@ -218,16 +218,19 @@ def train(texts: list[str], votes: np.ndarray, cast: np.ndarray, nets: int = NET
 def threshold(votes: np.ndarray, cast: np.ndarray, highs: list[np.ndarray | None]) -> float:
     """The threshold, from the highest window's logits of all documents by each network; beyond any score if nothing was learned.
 
+    Of a document the networks count that it was kept back from: with five, each document counts, by one.
     Where the raters aren't agreed or few, the networks' own opinion counts along: a document whose only
     rater overlooked an insult isn't a clean one.
     """
     if not highs or any(h is None for h in highs):
         return 2.0
     p = reliable(votes.astype(float), cast.astype(float))
-    held, high = kept_back(len(p)), np.mean(highs, axis=0)
-    if (p[held] > SURE).sum() < 5:
+    held = np.array([kept_back(len(p), nth) for nth in range(len(highs))])
+    by = held.sum(axis=0)
+    if (p[by > 0] > SURE).sum() < 5:
         return 0.5
-    p, high = np.clip(p[held], 1e-6, 1 - 1e-6), high[held]
+    high = np.where(held, highs, 0).sum(axis=0)[by > 0] / by[by > 0]
+    p = np.clip(p[by > 0], 1e-6, 1 - 1e-6)
     # a quarter of the windows that are learned from are abusive ones
     q = np.where(p > SURE, p, sigmoid(np.log(p / (1 - p)) + high + np.log(3)))
     order = np.argsort(-high)
@@ -254,7 +257,7 @@ def train_one(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int)
     n = len(texts)
     if not n or not len(ids) or p.max() < 0.5:
         return net, None  # no document is held to be abusive
-    held = kept_back(n)
+    held = kept_back(n, seed)
     # how much more often a word is in abusive documents
     seen = [np.unique(s) for s in streams]
     a, b = np.zeros(len(lex.rows)), np.zeros(len(lex.rows))
@@ -279,13 +282,13 @@ def train_one(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int)
     if not len(yes) or not len(no):
         return net, None
     sure = p > SURE if (p[yes] > SURE).sum() >= FEW else p >= 0.5
-    many = [np.arange(a, b) for a, b in zip(starts, ends, strict=True)]
     for turn in range(ROUNDS):
         rate = 3e-3 * (1 - 0.8 * turn / ROUNDS)
         # what the network doesn't know yet is found by its words, less and less so
         led = score + rare * max(0.0, 1 - turn / (0.7 * ROUNDS))
-        top = np.array([m[np.argmax((led if q >= 0.5 else score)[m])] if len(m) else -1 for m, q in zip(many, p, strict=True)])
-        runner = np.array([m[np.argsort(score[m])[-2]] if len(m) > 1 else t for m, t in zip(many, top, strict=True)])
+        by_led, by_score = np.lexsort((led, of)), np.lexsort((score, of))
+        top = np.where(ends > starts, np.where(p >= 0.5, by_led[ends - 1], by_score[ends - 1]), -1)
+        runner = np.where(ends - starts > 1, by_score[ends - 2], top)
         # a document with one vote of one rater is only learned from once the others have taught to see why
         agree = np.where(sure, 1.0, np.where((score[top] > 0) & (turn >= ROUNDS // 3), 1.0, 0.0))
         # clean documents by two votes that look abusive are learned from more often
@@ -305,7 +308,7 @@ def train_one(texts: list[str], votes: np.ndarray, cast: np.ndarray, seed: int)
             other = (rng.random(part.shape) < REPLACED) & (odds[part] < 0.5) & (part > 0)
             part[other] = rng.choice(plain, int(other.sum()))
             used, where = np.unique(part, return_inverse=True)
-            inputs = lex.inputs(numbers=used)
+            inputs = whole.some(used)
             inputs.rows[rng.random(len(used)) < UNNAMED] = 0  # then the word is known by its letters alone
             net.learn(inputs, where.reshape(part.shape), part > 0, target, weight, rate)
         anew = np.zeros(n, bool)
@@ -382,16 +385,18 @@ def fitted(documents: DataFrame, doc_id: Column, text: Column, ratings: DataFram
     settings = (tuple(seen), NETS, WINDOW, STRIDE, ROUNDS, STEPS, BATCH, FRESH, SURE, UNNAMED, FEW, JITTER, REPLACED, LONGEST, PIECE, WORD_ROWS, TRIGRAM_ROWS, WIDTH, UNITS)
     path = f"{shared_dir(spark)}/rillstone/models/{crc32(repr(settings).encode()):08x}-{seen[0]}-{seen[1]}"
 
-    def learn(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("doc_id")
+    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not (got := list(parts)):
+            return
+        g = pd.concat(got).sort_values("doc_id")
         net, high = train_one(g["text"].tolist(), g["votes"].to_numpy(), g["cast"].to_numpy(), int(g["net"].iloc[0]))
-        return pd.DataFrame({"net": [int(g["net"].iloc[0])], "weights": [pickle.dumps(net.p)], "high": [None if high is None else high.tolist()], "votes": [g["votes"].tolist()], "cast": [g["cast"].tolist()]})
+        yield pd.DataFrame({"net": [int(g["net"].iloc[0])], "weights": [pickle.dumps(net.p)], "high": [None if high is None else high.tolist()], "votes": [g["votes"].tolist()], "cast": [g["cast"].tolist()]})
 
     schema = "net int, weights binary, high array<double>, votes array<bigint>, cast array<bigint>"
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         each = sample.select("*", F.explode(F.array(*[F.lit(k) for k in range(NETS)])).alias("net"))
-        each.repartitionByRange(NETS, "net").groupBy("net").applyInPandas(learn, schema).write.mode("overwrite").parquet(path)
+        each.repartitionById(NETS, F.col("net")).mapInPandas(learn, schema).write.mode("overwrite").parquet(path)  # a task for each network
     rows = spark.read.schema(schema).parquet(path).orderBy("net").collect()  # as many as networks
     nets = [Network(0) for _ in rows]
     for net, r in zip(nets, rows, strict=True):

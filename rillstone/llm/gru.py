@@ -14,7 +14,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """The sums of the values of each row number from 0 to n - 1."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")
     own = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     out = np.zeros((n, values.shape[1]), np.float32)
@@ -31,6 +31,13 @@ class Words:
         self.counts = np.diff(np.concatenate([starts, [len(trigrams)]]))
         self.share = (1 / np.maximum(self.counts, 1)).astype(np.float32)
 
+    def some(self, ids: np.ndarray) -> Words:
+        """The inputs of some of these words."""
+        counts = self.counts[ids]
+        starts = np.cumsum(counts) - counts
+        at = np.repeat(self.starts[ids] - starts, counts) + np.arange(counts.sum())
+        return Words(self.rows[ids], self.trigrams[at], starts)
+
 
 class Network:
     """Parameters, scores and gradients. Words come as rows of `projected`, windows as their numbers."""
@@ -66,40 +73,40 @@ class Network:
         return vectors @ self.p["into"] + self.p["into_bias"]
 
     @staticmethod
-    def _direction(g: np.ndarray, ids: np.ndarray, u: np.ndarray, order: range, keep: list | None) -> np.ndarray:
-        n, h = len(ids), np.zeros((len(ids), UNITS), np.float32)
-        states = np.empty((ids.shape[1], n, UNITS), np.float32)
-        x, a = np.empty((n, 3 * UNITS), np.float32), np.empty((n, 3 * UNITS), np.float32)
-        columns = np.ascontiguousarray(ids.T)
+    def _direction(g: np.ndarray, ids: np.ndarray, u: np.ndarray, order: range, keep: bool) -> tuple[np.ndarray, ...]:
+        """The states of all steps and, if they are to be kept, the gates, the candidates and what the units put into these."""
+        steps, n, h = ids.shape[1], len(ids), np.zeros((len(ids), UNITS), np.float32)
+        states = np.empty((steps, n, UNITS), np.float32)
+        each = steps if keep else 1
+        zrs, cs, ans = np.empty((each, n, 2 * UNITS), np.float32), np.empty((each, n, UNITS), np.float32), np.empty((each, n, UNITS), np.float32)
+        g_zr, g_c, u_zr, u_c = (np.ascontiguousarray(x) for x in (g[:, : 2 * UNITS], g[:, 2 * UNITS :], u[:, : 2 * UNITS], u[:, 2 * UNITS :]))
+        a, columns = np.empty((n, 2 * UNITS), np.float32), np.ascontiguousarray(ids.T)
         for t in order:
-            if keep is not None:
-                x, a = np.empty_like(x), np.empty_like(a)
-            np.take(g, columns[t], axis=0, out=x, mode="clip")
-            np.matmul(h, u, out=a)
-            zr = x[:, : 2 * UNITS]  # 1 / (1 + exp(-x)), as the mean of 1 and tanh(x / 2)
-            zr += a[:, : 2 * UNITS]
+            zr, c, an = (zrs[t], cs[t], ans[t]) if keep else (zrs[0], cs[0], ans[0])
+            np.take(g_zr, columns[t], axis=0, out=zr, mode="clip")
+            np.take(g_c, columns[t], axis=0, out=c, mode="clip")
+            np.matmul(h, u_zr, out=a)
+            np.matmul(h, u_c, out=an)
+            zr += a  # 1 / (1 + exp(-x)), as the mean of 1 and tanh(x / 2)
             zr *= 0.5
             np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
-            z, r, an, c = zr[:, :UNITS], zr[:, UNITS:], a[:, 2 * UNITS :], x[:, 2 * UNITS :]
-            c += r * an
+            c += zr[:, UNITS:] * an
             np.tanh(c, out=c)
-            if keep is not None:
-                keep.append((t, h, z, r, c, an))
             new = states[t]
             np.subtract(h, c, out=new)
-            new *= z
+            new *= zr[:, :UNITS]
             new += c
             h = new
-        return states
+        return states, zrs, cs, ans
 
     def forward(self, g: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logits of windows: ids are rows of g, mask tells which places hold a word."""
         steps = ids.shape[1]
-        f, b = ([], []) if keep is not None else (None, None)
-        gf, gb = np.ascontiguousarray(g[:, : 3 * UNITS]), np.ascontiguousarray(g[:, 3 * UNITS :])
-        states = np.concatenate([self._direction(gf, ids, self.p["forth"], range(steps), f), self._direction(gb, ids, self.p["back"], range(steps - 1, -1, -1), b)], axis=2)
+        f = self._direction(g[:, : 3 * UNITS], ids, self.p["forth"], range(steps), keep is not None)
+        b = self._direction(g[:, 3 * UNITS :], ids, self.p["back"], range(steps - 1, -1, -1), keep is not None)
+        states = np.concatenate([f[0], b[0]], axis=2)
         look = np.where(mask.T, states @ self.p["look"], -1e9)
         look = np.exp(look - look.max(axis=0))
         look /= look.sum(axis=0)
@@ -125,19 +132,31 @@ class Network:
         dstates = look[:, :, None] * dpool + dlook[:, :, None] * self.p["look"]
         into_gates = np.empty((ids.shape[1], len(ids), 6 * UNITS), np.float32)
         for name, kept, part in (("forth", keep["f"], 0), ("back", keep["b"], 1)):
-            u, du = self.p[name], np.zeros_like(self.p[name])
-            dh = np.zeros((len(ids), UNITS), np.float32)
-            cols = slice(part * 3 * UNITS, (part + 1) * 3 * UNITS)
-            for t, h, z, r, c, an in reversed(kept):
-                dh = dh + dstates[t][:, part * UNITS : (part + 1) * UNITS]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h - c) * z * (1 - z)
-                dr = dc * an * r * (1 - r)
-                into_gates[t][:, cols] = np.concatenate([dz, dr, dc], axis=1)
-                rec = np.concatenate([dz, dr, dc * r], axis=1)
-                du += h.T @ rec
-                dh = dh * z + rec @ u.T
-            grads[name] = du
+            own, zr, c, an = kept
+            z, r, back = zr[:, :, :UNITS], zr[:, :, UNITS:], np.ascontiguousarray(self.p[name].T)
+            h = np.zeros_like(own)  # the states before each step
+            if part:
+                h[:-1] = own[1:]
+            else:
+                h[1:] = own[:-1]
+            # what doesn't depend on the later steps, for all steps at once
+            by_c, by_z, by_r = (1 - z) * (1 - c * c), (h - c) * z * (1 - z), an * r * (1 - r)
+            rec, dh = np.empty((len(ids), 3 * UNITS), np.float32), np.zeros((len(ids), UNITS), np.float32)
+            gates = into_gates[:, :, part * 3 * UNITS : (part + 1) * 3 * UNITS]
+            for t in range(len(own)) if part else range(len(own) - 1, -1, -1):
+                dh += dstates[t][:, part * UNITS : (part + 1) * UNITS]
+                dc = dh * by_c[t]
+                np.multiply(dh, by_z[t], out=rec[:, :UNITS])
+                np.multiply(dc, by_r[t], out=rec[:, UNITS : 2 * UNITS])
+                np.multiply(dc, r[t], out=rec[:, 2 * UNITS :])
+                gates[t][:, : 2 * UNITS] = rec[:, : 2 * UNITS]
+                gates[t][:, 2 * UNITS :] = dc
+                dh *= z[t]
+                dh += rec @ back
+            before = h.reshape(-1, UNITS)
+            put = np.ascontiguousarray(gates)
+            put[:, :, 2 * UNITS :] *= r  # the part of the units themselves
+            grads[name] = before.T @ put.reshape(-1, 3 * UNITS)
         dg = summed(ids.T.ravel(), into_gates.reshape(-1, 6 * UNITS), len(g))
         grads["into"], grads["into_bias"] = vectors.T @ dg, dg.sum(axis=0)
         dv = dg @ self.p["into"].T

@@ -113,6 +113,32 @@ def test_long_judged_documents_and_one_fit(spark, monkeypatch, model):
     assert not learned and all((a.p[k] == b.p[k]).all() for a, b in zip(first.nets, again.nets, strict=True) for k in a.p)
 
 
+def test_each_document_is_held_back_once():
+    held = np.array([abuse.kept_back(1003, k) for k in range(5)])
+    assert (held.sum(axis=0) == 1).all() and (held.sum(axis=1) >= 200).all()
+    assert not any(abuse.kept_back(499, k).any() for k in range(5))
+
+
+def test_threshold_heeds_all_judged_documents():
+    """Clean documents that look abusive count wherever they are, not in one fifth only."""
+    n = 2000
+    place = np.empty(n, int)
+    place[np.random.default_rng(7).permutation(n)] = np.arange(n)
+    bad, odd = place % 10 == 0, (place % 10 == 5) & (place >= n // 5)  # none of the odd ones among the first fifth
+    high = np.select([bad, odd], [3.0, -0.6], -6.0) + np.where(bad & (place % 50 == 0), -3.7, 0.0)
+    least = abuse.threshold(np.where(bad, 3, 0), np.full(n, 3), [high] * abuse.NETS)
+    found = abuse.sigmoid(high) >= least
+    assert (found & bad).sum() >= 0.9 * found.sum() and (found & bad).sum() >= 0.75 * bad.sum()
+
+
+def test_inputs_of_some_words():
+    lex = abuse.Lexicon()
+    lex.stream("you are a worthless moron")
+    ids = np.array([0, 5, 2])
+    own, some = lex.inputs(numbers=ids), lex.inputs().some(ids)
+    assert all((getattr(own, k) == getattr(some, k)).all() for k in ("rows", "trigrams", "starts", "counts"))
+
+
 def test_reliable_weighs_votes():
     p = abuse.reliable(np.array([0.0] * 80 + [1.0] * 5 + [3.0] * 15), np.array([3.0] * 100))
     assert p[0] < 0.05 and p[82] < 0.5 and p[-1] > 0.95
