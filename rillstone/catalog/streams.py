@@ -47,8 +47,9 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _timed(e: DataFrame, delay: str) -> DataFrame:
-    rows = e.select(F.col("user_id").cast("string").alias("key"), "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", delay)
-    return rows.groupBy("key").transformWithStateInPandas(SessionProcessor(HOUR // 2), SessionProcessor.OUTPUT, "Append", "EventTime")
+    key = F.col("user_id").cast("string")
+    rows = e.select(F.pmod(F.xxhash64(key), F.lit(1024)).alias("part"), key.alias("key"), "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", delay)
+    return rows.groupBy("part").transformWithStateInPandas(SessionProcessor(HOUR // 2), SessionProcessor.OUTPUT, "Append", "EventTime")
 
 
 def stream_session_timers(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,6 +25,10 @@ class SessionProcessor(StatefulProcessor):
     delay, so several sessions of a key can be open at once: events that fall into one prolong it, and
     sessions that grow to within the gap of each other become one. A session is given out only when its
     timer goes off, that is, when the watermark has passed its end by the gap and no event can change it.
+
+    The rows may be grouped by key or by anything that the key determines, such as a hash of it: the open sessions
+    of all keys of a group are one value, and the group has one timer, for the session that ends first. A call has
+    a cost of its own that is far above that of its rows, so many keys should be grouped to some hundred hashes.
     """
 
     OUTPUT = "key string, session_start bigint, session_end bigint, n_events bigint"
@@ -33,39 +38,50 @@ class SessionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sessions = handle.getMapState("sessions", "start bigint", "last bigint, n bigint")
+        self.open = handle.getValueState("open", "sessions binary")
+
+    def _kept(self) -> pd.DataFrame | None:
+        """The group's open sessions: key, start, last, n."""
+        held = self.open.get()
+        return pa.ipc.open_stream(held[0]).read_pandas() if held else None
+
+    def _keep(self, sessions: pd.DataFrame) -> None:
+        t = pa.Table.from_pandas(sessions, pa.schema([("key", pa.string()), ("start", pa.int64()), ("last", pa.int64()), ("n", pa.int64())]), preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as w:
+            w.write_table(t)
+        self.open.update((sink.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ms = np.sort(np.concatenate([b["ms"].to_numpy() for b in rows]))
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(ms) > self.gap]))
-        ends = np.concatenate([starts[1:], [len(ms)]])
-        had = {k[0]: tuple(v) for k, v in self.sessions.iterator()}
-        now: list[list[int]] = []
-        for start, last, n in sorted([*zip(ms[starts].tolist(), ms[ends - 1].tolist(), (ends - starts).tolist(), strict=True), *((k, *v) for k, v in had.items())]):
-            if now and start <= now[-1][1] + self.gap:
-                now[-1][1:] = max(now[-1][1], last), now[-1][2] + n
-            else:
-                now.append([start, last, n])
-        kept = {start: (last, n) for start, last, n in now}
-        before, after = {v[0] for v in had.values()}, {v[0] for v in kept.values()}
-        for k in had.keys() - kept.keys():
-            self.sessions.removeKey((k,))
-        for k, v in kept.items():
-            if had.get(k) != v:
-                self.sessions.updateValue((k,), v)
-        for last in before - after:
-            self.handle.deleteTimer(last + self.gap)
-        for last in after - before:
-            self.handle.registerTimer(last + self.gap)
+        new = [pd.DataFrame({"key": b["key"], "start": b["ms"], "last": b["ms"], "n": 1}) for b in rows]
+        had = self._kept()
+        both = pd.concat([*([] if had is None else [had]), *new], ignore_index=True)
+        codes, keys = pd.factorize(both["key"], use_na_sentinel=False)
+        start, last, n = (both[c].to_numpy() for c in ("start", "last", "n"))
+        order = np.lexsort((start, codes))
+        codes, start, n = codes[order], start[order], n[order]
+        last = pd.Series(last[order]).groupby(codes).cummax().to_numpy()
+        opens = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (start[1:] - last[:-1] > self.gap)]))
+        ends = np.concatenate([opens[1:], [len(start)]]) - 1
+        now = pd.DataFrame({"key": keys.take(codes[opens]), "start": start[opens], "last": last[ends], "n": np.add.reduceat(n, opens)})
+        self._keep(now)
+        before, after = None if had is None else int(had["last"].min()), int(now["last"].min())
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before + self.gap)
+            self.handle.registerTimer(after + self.gap)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        due = [(k[0], *v) for k, v in self.sessions.iterator() if v[0] + self.gap <= at]
-        for start, _, _ in due:
-            self.sessions.removeKey((start,))
-        if due:
-            yield pd.DataFrame([(key[0], *d) for d in due], columns=["key", "session_start", "session_end", "n_events"])
+        had = self._kept()
+        due = had["last"] + self.gap <= timerValues.getCurrentWatermarkInMs()
+        left = had[~due]
+        if left.empty:
+            self.open.clear()
+        else:
+            self._keep(left)
+            self.handle.registerTimer(int(left["last"].min()) + self.gap)
+        yield had[due].set_axis(["key", "session_start", "session_end", "n_events"], axis=1)
 
     def close(self) -> None:
         pass

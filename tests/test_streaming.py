@@ -1,5 +1,7 @@
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 
@@ -63,6 +65,55 @@ def test_sessions_out_of_order(spark, tmp_path):
     assert timed(spark, tmp_path, batches, "1000 seconds", 30_000) == [("a", 500, 510, 2), ("a", 1000, 1100, 5)]
 
 
+class Calls:
+    """A handle and its value state in memory, which counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.n = None, [], 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n, self.value = self.n + 1, value
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.n, self.timers = self.n + 1, [*self.timers, at]
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.n, self.timers = self.n + 1, [t for t in self.timers if t != at]
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 5_000_000
+
+
+def test_session_timers_by_group():
+    """The sessions of all keys of a group take one value and one timer, whatever their number."""
+    h, p = Calls(), SessionProcessor(1000)
+    p.init(h)
+    batch = lambda at: pd.DataFrame({"part": 7, "key": [str(i) for i in range(500)] * len(at), "ms": np.repeat(at, 500)})
+    assert not [*p.handleInputRows((7,), iter([batch([9_000, 4_000]), batch([20_000])]), h), *p.handleInputRows((7,), iter([batch([3_000, 4_999_000, 4_999_001])]), h)]
+    assert h.n == 5 and h.timers == [5_000]  # once 4,000 + gap, also after 3,000 came
+    (out,) = p.handleExpiredTimer((7,), h, None)
+    assert h.n == 8 and h.timers == [5_000, 5_000_001]  # Spark deletes the first
+    assert sorted(zip(*(out[c] for c in out), strict=True)) == sorted((str(i), a, b, n) for i in range(500) for a, b, n in [(3_000, 4_000, 2), (9_000, 9_000, 1), (20_000, 20_000, 1)])
+
+
+def test_session_timers_of_keys_in_one_group(spark, tmp_path):
+    batches = [[(0, k, T0 + timedelta(seconds=x), int((T0.timestamp() + x) * 1000)) for k, x in b] for b in ([("a", 0), ("b", 5), ("a", 8), ("b", 30)], [("b", 20), ("c", 11), (None, 1)], [("c", 400)])]
+    s = fed(spark, tmp_path, batches, "part int, key string, ts timestamp, ms bigint").withWatermark("ts", "100 seconds")
+    out = drained(s.groupBy("part").transformWithStateInPandas(SessionProcessor(10_000), SessionProcessor.OUTPUT, "Append", "EventTime"))
+    at = int(T0.timestamp() * 1000)
+    assert rows(out) == sorted([("a", at, at + 8000, 2), ("b", at + 5000, at + 5000, 1), ("b", at + 20_000, at + 30_000, 2), ("c", at + 11_000, at + 11_000, 1), (None, at + 1000, at + 1000, 1)], key=repr)
+
+
 def test_running_count(spark, tmp_path):
     s = fed(spark, tmp_path, [[("a", 1), ("b", 2)], [("a", 3), ("a", 4)]], "key string, id bigint")
     out = drained(s.groupBy("key").transformWithStateInPandas(RunningCount(), RunningCount.OUTPUT, "Append", "None"))
