@@ -12,7 +12,7 @@ from rillstone.catalog.reference import DIALECT, HOUR, SQL as BATCH_SQL, start
 from rillstone.operators.aggregates import aggregate
 from rillstone.operators.windows import session, tumbling
 from rillstone.plans import dialect
-from rillstone.store import shared_dir, table
+from rillstone.store import shared_dir, table, written
 from rillstone.stream import EventStream
 from rillstone.streaming.late import late_windows
 from rillstone.streaming.processors import KeyedStore, RunningCount, SessionProcessor
@@ -48,7 +48,7 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
 
 def _timed(e: DataFrame, delay: str) -> DataFrame:
     key = F.col("user_id").cast("string")
-    rows = e.select(F.pmod(F.xxhash64(key), F.lit(1024)).alias("part"), key.alias("key"), "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", delay)
+    rows = e.select(F.pmod(F.xxhash64(key), F.lit(512)).alias("part"), key.alias("key"), "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", delay)
     return rows.groupBy("part").transformWithStateInPandas(SessionProcessor(HOUR // 2), SessionProcessor.OUTPUT, "Append", "EventTime")
 
 
@@ -67,7 +67,7 @@ def stream_session_disorder(spark: SparkSession, d: str) -> DataFrame:
     late = F.pmod(F.xxhash64("event_id"), F.lit(2 * DAY))
     batch = F.floor((F.floor(F.col("us") / 1000) + late) / F.lit(5 * DAY))
     at = f"{shared_dir(spark)}/rillstone/{uuid.uuid4().hex}"
-    batches = e.select("event_id", "user_id", F.timestamp_micros("us").alias("ts"), batch.alias("batch"))
+    batches = written(e.select("event_id", "user_id", F.timestamp_micros("us").alias("ts"), batch.alias("batch")), ["batch"])
     numbers = sorted(r[0] for r in batches.select("batch").distinct().collect())  # one for each five days
     for n in numbers:  # files are read in order of their times
         batches.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(at)

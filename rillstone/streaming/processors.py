@@ -32,6 +32,7 @@ class SessionProcessor(StatefulProcessor):
     """
 
     OUTPUT = "key string, session_start bigint, session_end bigint, n_events bigint"
+    SESSIONS = pa.schema([("key", pa.string()), ("start", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
@@ -40,32 +41,32 @@ class SessionProcessor(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "sessions binary")
 
-    def _kept(self) -> pd.DataFrame | None:
+    def _kept(self) -> list[np.ndarray]:
         """The group's open sessions: key, start, last, n."""
         held = self.open.get()
-        return pa.ipc.open_stream(held[0]).read_pandas() if held else None
+        t = pa.ipc.open_stream(held[0]).read_all() if held else pa.table([[]] * 4, self.SESSIONS)
+        return [c.to_numpy() for c in t.columns]
 
-    def _keep(self, sessions: pd.DataFrame) -> None:
-        t = pa.Table.from_pandas(sessions, pa.schema([("key", pa.string()), ("start", pa.int64()), ("last", pa.int64()), ("n", pa.int64())]), preserve_index=False)
+    def _keep(self, sessions: list[np.ndarray]) -> None:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema) as w:
-            w.write_table(t)
+        with pa.ipc.new_stream(sink, self.SESSIONS) as w:
+            w.write_batch(pa.record_batch([pa.array(c, f.type, from_pandas=True) for c, f in zip(sessions, self.SESSIONS, strict=True)], self.SESSIONS))
         self.open.update((sink.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [pd.DataFrame({"key": b["key"], "start": b["ms"], "last": b["ms"], "n": 1}) for b in rows]
-        had = self._kept()
-        both = pd.concat([*([] if had is None else [had]), *new], ignore_index=True)
-        codes, keys = pd.factorize(both["key"], use_na_sentinel=False)
-        start, last, n = (both[c].to_numpy() for c in ("start", "last", "n"))
+        had, new = self._kept(), [(b["key"].to_numpy(), b["ms"].to_numpy()) for b in rows]
+        codes, keys = pd.factorize(np.concatenate([had[0], *(k for k, _ in new)]), use_na_sentinel=False)
+        start = np.concatenate([had[1], *(ms for _, ms in new)])
         order = np.lexsort((start, codes))
-        codes, start, n = codes[order], start[order], n[order]
-        last = pd.Series(last[order]).groupby(codes).cummax().to_numpy()
+        last = np.concatenate([had[2], start[len(had[2]) :]])[order]
+        n = np.concatenate([had[3], np.ones(len(start) - len(had[3]), np.int64)])[order]
+        codes, start = codes[order], start[order]
+        last = pd.Series(last).groupby(codes).cummax().to_numpy()
         opens = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (start[1:] - last[:-1] > self.gap)]))
         ends = np.concatenate([opens[1:], [len(start)]]) - 1
-        now = pd.DataFrame({"key": keys.take(codes[opens]), "start": start[opens], "last": last[ends], "n": np.add.reduceat(n, opens)})
+        now = [keys[codes[opens]], start[opens], last[ends], np.add.reduceat(n, opens)]
         self._keep(now)
-        before, after = None if had is None else int(had["last"].min()), int(now["last"].min())
+        before, after = int(had[2].min()) if len(had[2]) else None, int(now[2].min())
         if before != after:
             if before is not None:
                 self.handle.deleteTimer(before + self.gap)
@@ -74,14 +75,14 @@ class SessionProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         had = self._kept()
-        due = had["last"] + self.gap <= timerValues.getCurrentWatermarkInMs()
-        left = had[~due]
-        if left.empty:
+        due = had[2] + self.gap <= timerValues.getCurrentWatermarkInMs()
+        if due.all():
             self.open.clear()
         else:
+            left = [c[~due] for c in had]
             self._keep(left)
-            self.handle.registerTimer(int(left["last"].min()) + self.gap)
-        yield had[due].set_axis(["key", "session_start", "session_end", "n_events"], axis=1)
+            self.handle.registerTimer(int(left[2].min()) + self.gap)
+        yield pd.DataFrame(dict(zip(["key", "session_start", "session_end", "n_events"], (c[due] for c in had), strict=True)))
 
     def close(self) -> None:
         pass

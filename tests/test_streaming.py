@@ -106,6 +106,25 @@ def test_session_timers_by_group():
     assert sorted(zip(*(out[c] for c in out), strict=True)) == sorted((str(i), a, b, n) for i in range(500) for a, b, n in [(3_000, 4_000, 2), (9_000, 9_000, 1), (20_000, 20_000, 1)])
 
 
+def test_session_disorder_by_group():
+    """Batches out of order cost a group a few calls each, and give the sessions of all events at once."""
+    h, p = Calls(), SessionProcessor(1000)
+    p.init(h)
+    rng = np.random.default_rng(3)
+    keys, ms = rng.integers(0, 200, 8000).astype(str), rng.integers(0, 100_000, 8000)
+    late = ms + rng.integers(0, 40_000, 8000)
+    for i in range(7):
+        at = (late // 20_000) == i
+        assert not [*p.handleInputRows((7,), iter([pd.DataFrame({"key": keys[at], "ms": ms[at]})]), h)]
+    assert h.n <= 7 * 4 and len(h.timers) == 1
+    (out,) = p.handleExpiredTimer((7,), h, None)
+    assert h.value is None
+    e = pd.DataFrame({"key": keys, "ms": ms}).sort_values(["key", "ms"])
+    nth = (e.groupby("key")["ms"].diff() > 1000).groupby(e["key"]).cumsum()
+    want = e.groupby(["key", nth.rename("nth")])["ms"].agg(["min", "max", "count"]).reset_index().drop(columns="nth")
+    assert sorted(map(tuple, out.to_numpy())) == sorted(map(tuple, want.to_numpy()))
+
+
 def test_session_timers_of_keys_in_one_group(spark, tmp_path):
     batches = [[(0, k, T0 + timedelta(seconds=x), int((T0.timestamp() + x) * 1000)) for k, x in b] for b in ([("a", 0), ("b", 5), ("a", 8), ("b", 30)], [("b", 20), ("c", 11), (None, 1)], [("c", 400)])]
     s = fed(spark, tmp_path, batches, "part int, key string, ts timestamp, ms bigint").withWatermark("ts", "100 seconds")
